@@ -11,10 +11,12 @@ windows there lie within the two and are equal. So a window without an anchor th
 has can be left out; the rest, a small share, are extended to whole windows and compared as such, by
 128 bits, and the least doc_id of each is the verdict.
 
-Documents are dealt to blocks by a hash. A block sends each distinct anchor once, as bytes, to the
-bucket of its upper bits, whatever the number of its documents that have it, and a bucket answers with
-the anchors that are shared. So a passage in a third of all documents costs one entry a block, no task
-holds more than its block or bucket, and the number of both follows spark.sql.shuffle.partitions.
+Documents are dealt to blocks by a hash, in one exchange of the texts that three steps read. A block
+sends each distinct anchor once, as bytes, to the bucket of its upper bits, whatever the number of its
+documents that have it, and a bucket answers with the anchors that are shared. The block then sends
+each distinct window that may be repeated once, with the least doc_id here, and the answer lists those
+that have a smaller one elsewhere. So a passage in a third of all documents costs one entry a block, no
+task holds more than its block or bucket, and the number of both follows spark.sql.shuffle.partitions.
 
 Texts that are wholly equal are collapsed before: only the one with the smallest doc_id takes part,
 and of the others every word goes, if they have a whole window. Null and empty texts have no words.
@@ -32,12 +34,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidefold.llm import common as c
 
 WINDOW, PERIOD = 13, 7
 #: Blocks for each of spark.sql.shuffle.partitions.
-BLOCKS_EACH = 3
+BLOCKS_EACH = 2
 
 
 def difference_cover(period: int) -> list[int]:
@@ -61,143 +64,227 @@ def _anchors(w: c.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, c.rolling(h, size)[at]
 
 
+_COLUMNS = "bucket int, block int, kind int, a binary, b binary, c binary"
+_EMPTY = np.zeros(0, np.uint64)
+
+
 def _parts(block: pa.Table, limit: int = c.SLICE_BYTES):
     for batch in block.combine_chunks().to_batches():
-        yield from c.slices(batch, "text", limit)
+        yield from c.slices(batch, "_text", limit)
+
+
+def _read(t: pa.Table, kind: int, column: str, dtype: type) -> np.ndarray:
+    rows = [x for x, k in zip(t.column(column).to_pylist(), t.column("kind").to_pylist(), strict=True) if k == kind]
+    return np.frombuffer(b"".join(rows), dtype)
+
+
+def _judged(part: pa.RecordBatch, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(doc_id or 0, whether the row takes part): not rows without id, nor copies of an earlier whole text."""
+    ids = part.column("_id")
+    own = np.asarray(pc.fill_null(ids, 0)).astype(np.int64)
+    return own, ~np.isin(own, copies) & np.asarray(ids.is_valid())
 
 
-_SENT = "bucket int, block int, anchors binary, many binary"
-_SHARED = "block int, anchors binary"
-_FOUND = "doc_id long, at int, h1 long, h2 long"
+def _rows(block: int | None, bucket: np.ndarray, kind: int, *columns: np.ndarray) -> pa.Table:
+    """A row for each bucket (rising) with its part of the columns, as bytes."""
+    full = np.unique(bucket)
+    lo, hi = np.searchsorted(bucket, full), np.searchsorted(bucket, full, side="right")
+    cols = [c.blobs([x[p:q].tobytes() for p, q in zip(lo, hi, strict=True)]) for x in columns]
+    cols += [pa.nulls(len(full), pa.binary())] * (3 - len(cols))
+    ints = [pa.array(full.astype(np.int32)), pa.array([block] * len(full), pa.int32()), pa.array([kind] * len(full), pa.int32())]
+    return pa.table([*ints, *cols], names=["bucket", "block", "kind", "a", "b", "c"])
 
 
-def _send(buckets: int):
-    def run(block: pa.Table) -> pa.Table:
-        hashes, owners = [], []
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of the upper bits: rises with the hash."""
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+#: What a row of bytes holds.
+_COPIES, _ANCHORS, _WINDOWS = 0, 1, 2
+
+
+def _send_anchors(buckets: int):
+    def run(key: tuple, block: pa.Table, told: pa.Table) -> pa.Table:
+        copies, hashes, owners = _read(told, _COPIES, "a", np.int64), [_EMPTY], [np.zeros(0, np.int64)]
         for part in _parts(block):
-            w = c.split_words(part.column("text"))
+            w = c.split_words(c.texts_of(part.column("_text")))
+            own, on = _judged(part, copies)
             at, h = _anchors(w, w.hashes())
-            # the owner is part of nothing but the question whether two documents have the anchor
-            both = np.unique(np.stack([h, np.asarray(part.column("doc_id")).astype(np.int64).view(np.uint64)[w.doc()[at]]]), axis=1) if len(at) else np.zeros((2, 0), np.uint64)
-            hashes.append(both[0])
-            owners.append(both[1])
+            doc = w.doc()[at]
+            h, own = h[on[doc]], own[doc[on[doc]]]
+            hashes.append(h)
+            owners.append(own)
         h, own = np.concatenate(hashes), np.concatenate(owners)
-        order = np.lexsort((own, h))
+        order = np.argsort(h)
         h, own = h[order], own[order]
-        new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        many = np.maximum.reduceat(own, first) != own[first] if len(first) else np.zeros(0, bool)
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        many = (np.maximum.reduceat(own, first) != np.minimum.reduceat(own, first)).astype(np.uint8) if len(first) else np.zeros(0, np.uint8)
         h = h[first]
-        bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-        cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-        full = [b for b in range(buckets) if cut[b + 1] > cut[b]]
-        here = block.column("block")[0].as_py()
-        return pa.table({"bucket": pa.array(full, pa.int32()), "block": pa.array([here] * len(full), pa.int32()), "anchors": c.blobs([h[cut[b] : cut[b + 1]].tobytes() for b in full]), "many": c.blobs([np.packbits(many[cut[b] : cut[b + 1]]).tobytes() for b in full])})
+        return _rows(key[0].as_py(), _bucket(h, buckets), _ANCHORS, h, many)
 
     return run
 
 
-def _answer(t: pa.Table) -> pa.Table:
+def _shared_anchors(t: pa.Table) -> pa.Table:
     """For each block the anchors of one bucket that it shares with another, or that two of its documents share."""
-    parts = [np.frombuffer(x, np.uint64) for x in t.column("anchors").to_pylist()]
-    many = [np.unpackbits(np.frombuffer(m, np.uint8))[: len(p)].astype(bool) for m, p in zip(t.column("many").to_pylist(), parts, strict=True)]
-    h = np.concatenate(parts)
-    own = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    parts = [np.frombuffer(x, np.uint64) for x in t.column("a").to_pylist()]
+    h, own = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     order = np.argsort(h, kind="stable")
-    h, own, twice = h[order], own[order], np.concatenate(many)[order]
+    h, own, shared = h[order], own[order], np.frombuffer(b"".join(t.column("b").to_pylist()), np.uint8)[order].astype(bool)
     same = h[1:] == h[:-1]
-    twice[1:] |= same
-    twice[:-1] |= same
-    h, own = h[twice], own[twice]
+    shared[1:] |= same
+    shared[:-1] |= same
+    h, own = h[shared], own[shared]
     order = np.argsort(own, kind="stable")
-    h, own = h[order], own[order]
-    cut = np.searchsorted(own, np.arange(len(parts) + 1))
-    full = [i for i in range(len(parts)) if cut[i + 1] > cut[i]]
-    return pa.table({"block": t.column("block").combine_chunks().take(pa.array(full, pa.int64())), "anchors": c.blobs([h[cut[i] : cut[i + 1]].tobytes() for i in full])})
+    out = _rows(None, own[order], _ANCHORS, h[order])
+    return out.set_column(1, "block", t.column("block").combine_chunks().take(out.column("bucket").combine_chunks()))
 
 
-def _hits(w: c.Words, h: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """Starts of the whole windows that hold a shared anchor."""
+def _hits(w: c.Words, h: np.ndarray, on: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Starts of the whole windows that hold a shared anchor, of documents that take part."""
     at, a = _anchors(w, h)
     near = np.searchsorted(shared, a)
-    at = at[shared[np.minimum(near, len(shared) - 1)] == a] if len(shared) else at[:0]
+    doc = w.doc()
+    at = at[(shared[np.minimum(near, len(shared) - 1)] == a) & on[doc[at]]] if len(shared) else at[:0]
     ok = w.windows(WINDOW)
     mark = np.zeros(len(w.codes) + 1, np.int64)
-    doc_start = w.off[w.doc()[at]]
-    np.add.at(mark, np.maximum(at - PERIOD + 1, doc_start), 1)
+    np.add.at(mark, np.maximum(at - PERIOD + 1, w.off[doc[at]]), 1)
     np.add.at(mark, at + 1, -1)
     return np.flatnonzero((np.cumsum(mark)[: len(ok)] > 0) & ok)
 
 
-def _extend(block: pa.Table, answers: pa.Table) -> pa.Table:
-    """The windows that may occur elsewhere, each once a block for a document: least place, two hashes."""
-    shared = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in answers.column("anchors").to_pylist())]))
-    out = []
-    if len(shared) and len(block):
-        for part in _parts(block):
-            w = c.split_words(part.column("text"))
+def _send_windows(buckets: int):
+    def run(key: tuple, block: pa.Table, told: pa.Table) -> pa.Table:
+        copies, shared, out = _read(told, _COPIES, "a", np.int64), np.unique(_read(told, _ANCHORS, "a", np.uint64)), []
+        for part in _parts(block) if len(shared) else ():
+            w = c.split_words(c.texts_of(part.column("_text")))
+            own, on = _judged(part, copies)
             h = w.hashes()
-            hit = _hits(w, h, shared)
+            hit = _hits(w, h, on, shared)
             if len(hit):
-                doc = w.doc()[hit]
-                out.append((np.asarray(part.column("doc_id"))[doc], (hit - w.off[doc]).astype(np.int32), c.rolling(h, WINDOW)[hit], c.rolling(w.hashes(1), WINDOW, 1)[hit]))
-    cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
-    return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "at": pa.array(cols[1], pa.int32()), "h1": c.signed(cols[2]), "h2": c.signed(cols[3])})
+                out.append((c.rolling(h, WINDOW)[hit], c.rolling(w.hashes(1), WINDOW, 1)[hit], own[w.doc()[hit]]))
+        h1, h2, own = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (_EMPTY, _EMPTY, np.zeros(0, np.int64))
+        order = np.lexsort((own, h2, h1))
+        h1, h2, own = h1[order], h2[order], own[order]
+        if len(h1):
+            first = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+            h1, h2, own = h1[first], h2[first], own[first]
+        return _rows(key[0].as_py(), _bucket(h1, buckets), _WINDOWS, h1, h2, own)
 
+    return run
+
+
+def _earlier_windows(t: pa.Table) -> pa.Table:
+    """For each block those of its windows in one bucket that start in a document with a smaller doc_id than any of the block's."""
+    n = [len(x) // 8 for x in t.column("a").to_pylist()]
+    h1, h2, own = (np.frombuffer(b"".join(t.column(x).to_pylist()), kind) for x, kind in (("a", np.uint64), ("b", np.uint64), ("c", np.int64)))
+    block = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((own, h2, h1))
+    h1, h2, own, block = h1[order], h2[order], own[order], block[order]
+    first = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])) if len(h1) else np.zeros(0, np.int64)
+    least = np.repeat(own[first], np.diff(np.append(first, len(h1))))
+    late = own > least
+    h1, h2, block = h1[late], h2[late], block[late]
+    order = np.argsort(block, kind="stable")
+    out = _rows(None, block[order], _WINDOWS, h1[order], h2[order])
+    return out.set_column(1, "block", t.column("block").combine_chunks().take(out.column("bucket").combine_chunks()))
+
+
+def _remove(kept: list[str], text: str):
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
+        copies = _read(told, _COPIES, "a", np.int64)
+        late = np.stack([_read(told, _WINDOWS, "a", np.uint64), _read(told, _WINDOWS, "b", np.uint64)])
+        late = late[:, np.argsort(late[0], kind="stable")]
+        parts = list(_parts(block))
+        # windows of this block that one of its own documents has before another, and those that are told
+        seen, kept_parts = [], []
+        for part in parts:
+            w = c.split_words(c.texts_of(part.column("_text")))
+            own, on = _judged(part, copies)
+            at = np.flatnonzero(w.windows(WINDOW))
+            at = at[on[w.doc()[at]]]
+            seen.append((c.rolling(w.hashes(), WINDOW)[at], c.rolling(w.hashes(1), WINDOW, 1)[at], own[w.doc()[at]]))
+            kept_parts.append((part, w, own, at))
+        h1, h2, own = (np.concatenate(x) for x in zip(*seen, strict=True)) if seen else (_EMPTY, _EMPTY, np.zeros(0, np.int64))
+        gone = np.zeros(len(h1), bool)
+        if len(h1):
+            order = np.argsort(h1, kind="stable")
+            near = h1[order]
+            twin = np.zeros(len(h1), bool)
+            twin[1:] = near[1:] == near[:-1]
+            twin[:-1] |= twin[1:]
+            some = order[twin]  # only windows whose first hash comes twice need a full sort
+            some = some[np.lexsort((own[some], h2[some], h1[some]))]
+            if len(some):
+                a, b, o = h1[some], h2[some], own[some]
+                first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                gone[some] = o > np.repeat(o[first], np.diff(np.append(first, len(a))))
+            if late.shape[1]:
+                lo = np.searchsorted(late[0], h1)
+                hit = np.flatnonzero(late[0][np.minimum(lo, late.shape[1] - 1)] == h1)
+                for step in range(8):  # windows with one first hash and another second are next to none
+                    k = lo[hit] + step
+                    ok = k < late.shape[1]
+                    hit, k = hit[ok], k[ok]
+                    same = late[0][k] == h1[hit]
+                    gone[hit[same & (late[1][k] == h2[hit])]] = True
+                    hit = hit[same]
+        done, out = 0, []
+        for part, w, own, at in kept_parts:
+            n = np.diff(w.off)
+            mark = np.zeros(len(w.codes) + 1, np.int64)
+            start = at[gone[done : done + len(at)]]
+            done += len(at)
+            np.add.at(mark, start, 1)
+            np.add.at(mark, start + WINDOW, -1)
+            off = np.cumsum(mark)[:-1] > 0
+            off |= np.repeat(np.isin(own, copies) & np.asarray(part.column("_id").is_valid()) & (n >= WINDOW), n)
+            words = w.dictionary.take(pa.array(w.codes[~off]))
+            bounds = np.concatenate([[0], np.cumsum(~off)])[w.off]
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words), " ")
+            out.append(pa.RecordBatch.from_arrays([*(part.column("_text" if x == text else f"_c{i}") for i, x in enumerate(kept)), pa.array(n.astype(np.int64)), pa.array(c.segment_sum(off.astype(np.int64), w.off)), joined], names=[*kept, "n_words", "n_removed", "kept_text"]))
+        return pa.Table.from_batches(out) if out else pa.table({})
+
+    return run
 
-def repeated_starts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, starts): places of the windows that start in a document with a smaller doc_id too. Texts are distinct."""
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    blocks = own.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n * BLOCKS_EACH)).cast("int"))
-    sent = blocks.groupBy("block").applyInArrow(_send(n), _SENT)
-    shared = sent.groupBy("bucket").applyInArrow(_answer, _SHARED)
-    found = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_extend, _FOUND)
-    found = c.materialize(found)
-    least = c.materialize(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least"))
-    return found.join(least, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
+
+def copies_of(docs: DataFrame) -> DataFrame:
+    """(_id, _block) of (_id, _text, _block): rows whose whole text an earlier row has."""
+    ids = docs.where((F.length("_text") > 2 * WINDOW - 2) & F.col("_id").isNotNull()).select("_id", "_block", F.xxhash64("_text").alias("_x"), F.md5("_text").alias("_y"))
+    ids = c.materialize(ids)
+    first = c.materialize(ids.groupBy("_x", "_y").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last"))
+    return c.materialize(ids.join(first, ["_x", "_y"]).where("_id > _first").select("_id", "_block"))
+
+
+def _pack_ids(batches):
+    """The ids of each block among the rows of a task, as bytes."""
+    for b in batches:
+        block, ids = np.asarray(b.column("_block")), np.asarray(b.column("_id"))
+        order = np.argsort(block, kind="stable")
+        out = _rows(None, block[order].astype(np.int64), _COPIES, ids[order])
+        yield from out.set_column(1, "block", out.column("bucket")).to_batches()
 
 
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (its columns `keep`; all: None) with n_words, n_removed and kept_text, the kept words joined by a space."""
     kept = [x for x in (docs.columns if keep is None else keep) if x not in ("n_words", "n_removed", "kept_text")]
-    key = [F.xxhash64(text).alias("_x"), F.md5(F.col(text)).alias("_y")]
-    ids = c.materialize(docs.select(F.col(doc_id).cast("long").alias("_id"), *key, (F.length(text) > 2 * WINDOW - 2).alias("_long")).where("_long and _id is not null").select("_id", "_x", "_y"))
-    first = c.materialize(ids.groupBy("_x", "_y").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last"))
-    copies = ids.join(first, ["_x", "_y"]).where("_id > _first").select("_id").distinct()
-    alone = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text")).where(F.length("text") > 2 * WINDOW - 2).join(copies, "_id", "left_anti")
-    starts = repeated_starts(alone, "_id", "text").select(F.col("doc_id").alias("_id"), F.col("starts").alias("_starts"))
-    told = c.materialize(starts.unionByName(copies.select("_id", F.array(F.lit(-1)).alias("_starts"))))
-    joined = docs.withColumn("_id", F.col(doc_id).cast("long")).join(told, "_id", "left")
-    schema_of = joined.select(*kept).schema
-
-    def run(batches):
-        for batch in batches:
-            for part in c.slices(batch, text):
-                a = c.texts_of(part.column(text))
-                w = c.split_words(a)
-                n = np.diff(w.off)
-                lists = part.column("_starts")
-                lo = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
-                doc = np.repeat(np.arange(len(a)), lo)
-                at = np.asarray(pc.list_flatten(lists)).astype(np.int64)
-                mark = np.zeros(len(w.codes) + 1, np.int64)
-                whole = at < 0
-                np.add.at(mark, w.off[doc] + np.maximum(at, 0), 1)
-                np.add.at(mark, np.where(whole, w.off[doc + 1], w.off[doc] + at + WINDOW), -1)
-                gone = np.cumsum(mark)[:-1] > 0
-                short = np.repeat(n < WINDOW, n)
-                gone &= ~short
-                stay = pa.array(w.codes[~gone])
-                words = w.dictionary.take(stay)
-                off = np.concatenate([[0], np.cumsum(~gone)])[w.off]
-                text_ = pc.binary_join(pa.ListArray.from_arrays(pa.array(off, pa.int32()), words), " ")
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in kept), pa.array(n.astype(np.int64)), pa.array(c.segment_sum(gone.astype(np.int64), w.off)), text_], names=[*kept, "n_words", "n_removed", "kept_text"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*schema_of, c.field("n_words", "long"), c.field("n_removed", "long"), c.field("kept_text", "string")])
-    return joined.select(*dict.fromkeys([*kept, text, "_starts"])).mapInArrow(run, schema)
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    block = F.pmod(F.xxhash64(doc_id, text), F.lit(n * BLOCKS_EACH)).cast("int")
+    blocks = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), block.alias("_block"), *(F.col(x).alias(f"_c{i}") for i, x in enumerate(kept) if x != text))
+    copies = c.materialize(copies_of(blocks).mapInArrow(_pack_ids, _COLUMNS))
+    by = blocks.groupBy("_block")
+    told = lambda *more: _union(copies, *more).groupBy("block")
+    shared = by.cogroup(told()).applyInArrow(_send_anchors(n), _COLUMNS).groupBy("bucket").applyInArrow(_shared_anchors, _COLUMNS)
+    late = by.cogroup(told(shared)).applyInArrow(_send_windows(n), _COLUMNS).groupBy("bucket").applyInArrow(_earlier_windows, _COLUMNS)
+    fields = [*docs.select(*kept).schema, c.field("n_words", "long"), c.field("n_removed", "long"), c.field("kept_text", "string")]
+    return by.cogroup(told(late)).applyInArrow(_remove(kept, text), T.StructType(fields))
+
+
+def _union(first: DataFrame, *more: DataFrame) -> DataFrame:
+    for x in more:
+        first = first.unionByName(x)
+    return first
 
 
 def digest(rows: DataFrame) -> DataFrame:
