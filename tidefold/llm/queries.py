@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm import embedding_dedup, near_dedup, packing, pieces, quality_classifier, quality_rules, substring_dedup, suffix_tree_lm, url_filter
+from tidefold.llm import embedding_dedup, license_scan, near_dedup, packing, pieces, quality_classifier, quality_rules, substring_dedup, suffix_tree_lm, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score(_table(spark, sf_dir, "documents"))
 
@@ -87,8 +91,14 @@ from pages_ left join hits using (page_id)
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_suffix_tree_lm, op4_quality_classifier, op5_substring_dedup, op6_near_dedup, op7_embedding_dedup, op8_url_filter, op9_pieces, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_license_scan, op3_suffix_tree_lm, op4_quality_classifier, op5_substring_dedup, op6_near_dedup, op7_embedding_dedup, op8_url_filter, op9_pieces, op10_quality_rules)} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
