@@ -20,6 +20,7 @@ table gives no rows. Other columns of the input do not go to the output.
 from __future__ import annotations
 
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -35,8 +36,8 @@ END_ID = 2
 EXACT = 256
 #: Rows that are ranked in one group.
 GROUP = 128
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 300_000
+#: Words whose ids a worker keeps: the first it meets, which has the frequent ones among them.
+KEPT_WORDS = 1_000_000
 #: The linear program ends when it is proven to be so near its optimum, or after so many patterns.
 GAP, MAX_PATTERNS = 1e-3, 500
 
@@ -58,17 +59,16 @@ def ids_of_words(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, ids) of each word by itself; no token of these vocabularies goes over white space."""
     tokenizer, known = _tokenizer(path)
     listed = words.to_pylist()
-    new = [w for w in listed if w not in known]
-    if len(known) + len(new) > KEPT_WORDS:
-        known.clear()
-        new = listed
-    for i in range(0, len(new), 4096):
-        some = new[i : i + 4096]
-        for w, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    parts = [known[w] for w in listed]
+    parts = [known.get(w) for w in listed]
+    new = [i for i, p in enumerate(parts) if p is None]
+    for a in range(0, len(new), 4096):
+        some = new[a : a + 4096]
+        for i, e in zip(some, tokenizer.encode_batch_fast([listed[i] for i in some], add_special_tokens=False), strict=True):
+            parts[i] = array("I", e.ids).tobytes()
+    for i in new[: max(0, KEPT_WORDS - len(known))]:
+        known[listed[i]] = parts[i]
     off = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)])
-    return off, np.frombuffer(b"".join(parts), "<u4")
+    return off, np.frombuffer(b"".join(parts), "=u4")
 
 
 def ids_of_texts(texts: pa.Array, path: str, end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
