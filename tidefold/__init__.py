@@ -1,0 +1 @@
+"""Tidefold: replicated file histories as DataFrames — folding, version graphs, merging, capture and retention."""
