@@ -40,7 +40,7 @@ from tidefold.llm import common as c
 
 WINDOW, PERIOD = 13, 7
 #: Blocks for each of spark.sql.shuffle.partitions.
-BLOCKS_EACH = 2
+BLOCKS_EACH = 4
 
 
 def difference_cover(period: int) -> list[int]:
@@ -68,7 +68,7 @@ _COLUMNS = "bucket int, block int, kind int, a binary, b binary, c binary"
 _EMPTY = np.zeros(0, np.uint64)
 
 
-def _parts(block: pa.Table, limit: int = c.SLICE_BYTES):
+def _parts(block: pa.Table, limit: int = 1 << 20):
     for batch in block.combine_chunks().to_batches():
         yield from c.slices(batch, "_text", limit)
 
@@ -196,10 +196,9 @@ def _remove(kept: list[str], text: str):
         copies = _read(told, _COPIES, "a", np.int64)
         late = np.stack([_read(told, _WINDOWS, "a", np.uint64), _read(told, _WINDOWS, "b", np.uint64)])
         late = late[:, np.argsort(late[0], kind="stable")]
-        parts = list(_parts(block))
         # windows of this block that one of its own documents has before another, and those that are told
         seen, kept_parts = [], []
-        for part in parts:
+        for part in _parts(block):
             w = c.split_words(c.texts_of(part.column("_text")))
             own, on = _judged(part, copies)
             at = np.flatnonzero(w.windows(WINDOW))
@@ -207,6 +206,7 @@ def _remove(kept: list[str], text: str):
             seen.append((c.rolling(w.hashes(), WINDOW)[at], c.rolling(w.hashes(1), WINDOW, 1)[at], own[w.doc()[at]]))
             kept_parts.append((part, w, own, at))
         h1, h2, own = (np.concatenate(x) for x in zip(*seen, strict=True)) if seen else (_EMPTY, _EMPTY, np.zeros(0, np.int64))
+        seen.clear()
         gone = np.zeros(len(h1), bool)
         if len(h1):
             order = np.argsort(h1, kind="stable")
