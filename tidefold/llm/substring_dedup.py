@@ -39,8 +39,8 @@ from pyspark.sql import types as T
 from tidefold.llm import common as c
 
 WINDOW, PERIOD = 13, 7
-#: Blocks for each of spark.sql.shuffle.partitions.
-BLOCKS_EACH = 4
+#: Blocks, and buckets, for each of spark.sql.shuffle.partitions. A block sends a row to each bucket.
+BLOCKS_EACH, BUCKETS_EACH = 4, 0.5
 
 
 def difference_cover(period: int) -> list[int]:
@@ -270,7 +270,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """docs (its columns `keep`; all: None) with n_words, n_removed and kept_text, the kept words joined by a space."""
     kept = [x for x in (docs.columns if keep is None else keep) if x not in ("n_words", "n_removed", "kept_text")]
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    block = F.pmod(F.xxhash64(doc_id, text), F.lit(n * BLOCKS_EACH)).cast("int")
+    block, n = F.pmod(F.xxhash64(doc_id, text), F.lit(n * BLOCKS_EACH)).cast("int"), max(1, int(n * BUCKETS_EACH))
     blocks = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), block.alias("_block"), *(F.col(x).alias(f"_c{i}") for i, x in enumerate(kept) if x != text))
     copies = c.materialize(copies_of(blocks).mapInArrow(_pack_ids, _COLUMNS))
     by = blocks.groupBy("_block")
