@@ -11,7 +11,7 @@ from tidefold import schemas
 from tidefold.functions import hlc
 from tidefold.functions import text as tx
 from tidefold.operators import applying, blobs, capture, classify, graph, merging, oplog, reconcile
-from tidefold.plans import fixtures
+from tidefold.plans import fixtures, rounds
 from tidefold.plans.fixtures import FIXTURE_SQL
 from tidefold.scratch import materialize
 from tidefold.sources import crypto, journals, remote
@@ -534,6 +534,142 @@ def append_growth(spark, d):
     return m.select(F.round(F.col("v4") / F.col("v1"), 6).alias("ratio"), (F.col("v4") / F.col("v1") < 1.5).alias("flat"))
 
 
+# --- more of the registry, the server and labels -------------------------------------------------
+
+
+@query("""select 'p' || (doc_id // 40) as packId, hash, true as ok from (select sha256(text) as hash, min(doc_id) as doc_id from documents group by 1)""", fixture=False)
+def pack_read(spark, d):
+    """Blobs written to packs, the index read, each blob verified by its hash."""
+    rows = fixtures.contents(spark, d)
+    index, packs = journals.write_packs(rows, 40)
+    got = journals.read_packed(index, packs).where("bytes is not null").select("hash", F.lit(True).alias("ok"))
+    return got.join(fixtures.pack_index(spark, d).select("hash", "packId"), "hash").select("packId", "hash", "ok")
+
+
+@query("""select id, wall, type from ops where event_id % 3 = 1""")
+def pending_list(spark, d):
+    """A5: pending operations, by clock."""
+    return oplog.pending_list(_ops(spark, d).where("event_id % 3 = 1")).select("id", F.col("hlcTimestamp.wallTime").alias("wall"), "type")
+
+
+@query("""select (select count(*) from ops where event_id % 3 = 1) as pushed, (select count(*) from ops where event_id % 3 = 2) as pulled, (select count(distinct fileId) from ops where type = 'delete') as deferred,
+    (select count(distinct contentHash) from ops where event_id % 10 = 3) as stranded, (select count(distinct fileId) from ops where len(parents) >= 2) as conflicts""")
+def round_summary(spark, d):
+    """A6."""
+    rows = _ops(spark, d)
+    return oplog.round_summary(rows.where("event_id % 3 = 1"), rows.where("event_id % 3 = 2"), rows.where("type = 'delete'").select("fileId").distinct(), rows.where("event_id % 10 = 3 and contentHash is not null").select("contentHash").distinct(), rows.where("size(parents) >= 2").select("fileId").distinct())
+
+
+@query(PROJECT + """, def as (select distinct fileId from ops where event_id % 20 = 3), con as (select distinct fileId from ops where event_id % 41 = 3) select def.fileId, path from def left join entries on id = def.fileId where def.fileId not in (select fileId from con)""")
+def deferred_files(spark, d):
+    """Deferred files that are no conflicts."""
+    rows = _ops(spark, d)
+    pick = lambda n: rows.where(F.col("event_id") % n == 3).select("fileId").distinct()
+    return oplog.deferred_only(pick(20), pick(41), oplog.project(fixtures.plain(rows)))
+
+
+@query(REGISTRY + """, asked as (select path from disk union select path from reg union select 'n/new-' || path from disk), best as (select path, arg_max({'id': id, 'dead': deleted}, (not deleted, mtime)) as e from reg group by path)
+select asked.path, e.id as known_id, case when e is null then 'new' when e.dead then 'resurrected' else 'tracked' end as how from asked left join best using (path)""")
+def registry_register(spark, d):
+    """The id that a file at a path has."""
+    reg, listing, _ = _disk(spark, d)
+    asked = listing.select("path").union(reg.select("path")).union(listing.select(F.concat(F.lit("n/new-"), "path"))).distinct()
+    out = capture.register(reg, asked)
+    return out.select("path", F.when(F.col("how") != "new", F.col("id")).alias("known_id"), "how")
+
+
+@query(REGISTRY + """select r.id, r.path, case when r.head is not null and r.mtime = d.mtime and r.size = d.size then r.contentHash else coalesce(d.hash, r.contentHash) end as contentHash,
+    not (r.head is not null and coalesce(r.mtime = d.mtime and r.size = d.size, false)) as rehashed from reg r left join disk d using (path) where not r.deleted""")
+def local_identity(spark, d):
+    """Entries with the hash that is on disk."""
+    return capture.identity(*_disk(spark, d))
+
+
+@query(REGISTRY + """, act as (select id, case when length(id) % 2 = 0 then 'no_op' else 'send_remote' end as action from reg where right(id, 1) in ('1', '2', '3')) select id, case when id in (select id from act) and id not in (select fileId from ops where event_id % 30 = 3) and not deleted then path end as lastSyncedPath from reg""")
+def synced_paths(spark, d):
+    """R15."""
+    reg, _, _ = _disk(spark, d)
+    acts = reg.where(F.substring("id", -1, 1).isin("1", "2", "3")).select("id", F.when(F.length("id") % 2 == 0, "no_op").otherwise("send_remote").alias("action"))
+    late = _ops(spark, d).where("event_id % 30 = 3").select(F.col("fileId").alias("id")).distinct()
+    return capture.advance_synced(reg, acts, late).select("id", "lastSyncedPath")
+
+
+@query("""with h as (select sha256(text) as hash, min(doc_id) as i from documents group by 1), n as (select hash, row_number() over (order by hash) - 1 as k from h where i % 3 <> 0) select hash, k // 100 as grp from n""", fixture=False)
+def upload_batches(spark, d):
+    """Missing blobs in batches of a hundred."""
+    rows = fixtures.pack_index(spark, d)
+    first = _t(spark, d, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("hash")).agg(F.min("doc_id").alias("i")).where("i % 3 = 0")
+    return blobs.upload_batches(rows.select("hash", "len"), first, 100).select("hash", F.col("batch.group").alias("grp"))
+
+
+@query(PACKS + """, v as (select packId from st where live > 0 and live < n), m as (select distinct hash from idx join keep using (hash) where packId in (select packId from v)) select hash, (row_number() over (order by hash) - 1) // 16 as newPack from m""")
+def rewrite_plan(spark, d):
+    """Live blobs of packs with dead ones, in new packs of sixteen."""
+    index, keep = fixtures.pack_index(spark, d), _keep(spark, d)
+    return blobs.rewrite_plan(index, keep, blobs.consolidation_plan(index, keep, 1), 16)
+
+
+@query("""with h as (select sha256(text) as hash, min(doc_id) as i from documents group by 1) select hash from h where i % 2 = 1""", fixture=False)
+def blob_put(spark, d):
+    """Blobs that a store of half of them takes; the first write of a hash wins."""
+    docs = _t(spark, d, "documents").select(F.sha2(F.col("text").cast("binary"), 256).alias("hash"), "doc_id")
+    first = docs.groupBy("hash").agg(F.min("doc_id").alias("i"))
+    return remote.blob_put(first.where("i % 2 = 0").select("hash"), docs.select("hash"))
+
+
+@query("""select event_id as pos, sha256(event_type) as hash from events where sha256(event_type) <> sha256('view') and event_id % 3 = 0""", fixture=False)
+def blob_get(spark, d):
+    """Missing hashes as often as they are asked for."""
+    wanted = _t(spark, d, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("pos"), F.sha2(F.col("event_type").cast("binary"), 256).alias("hash"))
+    _, missing = remote.blob_get(wanted, wanted.where("hash = sha2('view', 256)").select("hash").distinct())
+    return missing.select("pos", "hash")
+
+
+@query("""select event_id, case when event_id % 200000 < 1024 then (event_id % 200000) || ' B' else printf('%.1f KB', floor((event_id % 200000) / 1024.0 * 10 + 0.5) / 10) end as size, 'device ' || substr('abcdef123' || event_id, 1, 6) as device,
+    case event_type when 'view' then 'Moved' when 'error' then 'Deleted' when 'signup' then 'Created' else 'Edited' end as op, case event_id % 5 when 0 then 'setup' when 1 then 'setup' when 2 then 'link' when 3 then 'link' else 'other' end as error from events""", fixture=False)
+def labels(spark, d):
+    """labels of sizes, devices, operations and errors."""
+    e = F.col("event_id")
+    kind = F.when(F.col("event_type") == "view", "move").when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "create").otherwise("update")
+    error = F.element_at(F.array(*(F.lit(x) for x in ("auth", "decrypt", "network", "timeout", "server"))), (e % 5 + 1).cast("int"))
+    return _t(spark, d, "events").select("event_id", tx.byte_size(e % 200000).alias("size"), tx.device_label(F.concat(F.lit("abcdef123"), e.cast("string"))).alias("device"), tx.op_label(kind).alias("op"), tx.error_class(error).alias("error"))
+
+
+@query("""select 'taken' as verdict, true as has_check""", fixture=False)
+def preflight(spark, d):
+    """The verdict of a claim, and a key check that opens."""
+    key = crypto.derive("a passphrase", "a vault", 1000)["verify"]
+    owners = spark.createDataFrame([("v", "t1")], "vault string, token string")
+    store = spark.range(1).select(F.lit(crypto.slot()).alias("hash"), crypto.seal(F.lit(crypto.KEY_CHECK), key).alias("bytes"))
+    return remote.preflight("t2", owners, store, crypto.slot()).select("verdict", crypto.key_check(F.col("keyCheck"), key).alias("has_check"))
+
+
+@query()
+def garbage_collection(spark, d):
+    """P7, ST10: versions that stay, tombstones that go and packs' verdicts."""
+    rows = _ops(spark, d)
+    entries = materialize(oplog.project(fixtures.plain(rows)))
+    index = fixtures.pack_index(spark, d)
+    packs = index.select("packId", F.lit(0).cast("bigint").alias("mtime")).distinct()
+    none = spark.createDataFrame([], "id string, parents array<string>")
+    kept, gone, verdicts = rounds.collect_garbage(entries, none, materialize(graph.build(graph.from_ops(rows))), index, packs, 1_800_000_000_000, 1)
+    return kept.select(F.lit("version").alias("kind"), F.col("versionId").alias("id")).union(gone.select(F.lit("tombstone"), "id")).union(verdicts.select(F.concat(F.lit("pack "), "verdict"), "packId"))
+
+
+@query()
+def sync_round(spark, d):
+    """A whole round of device 1 against what devices 0 and 2 wrote."""
+    rows = _ops(spark, d)
+    mine, theirs = fixtures.plain(fixtures.replica(rows, 1)), fixtures.replica(rows, 2)
+    registry = materialize(oplog.project(mine))
+    pulled = theirs.withColumn("seq", F.col("event_id")).select("seq", *mine.columns)
+    x = fixtures.contents(spark, d)
+    disk = registry.where("not deleted").select("path", F.col("contentHash").alias("hash"))
+    none = spark.createDataFrame([], "id string, decision string")
+    out = rounds.run("dev-1", registry, mine, pulled, spark.createDataFrame([], schemas.VERSIONS), x, x, disk, none, 0, 1_800_000_000_000, "keep")
+    return out.heads.join(out.cursor, F.lit(True)).select("fileId", "head", "cursor")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live files that the log leaves."""
     return log_projection(spark, sf_dir).where("not deleted")
