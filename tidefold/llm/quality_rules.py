@@ -32,7 +32,7 @@ COMMON_WORDS = {
 VOCABULARY = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
 CLASSES = ("lower", "upper", "digit", "space", "stop", "mark", "symbol", "other", "beyond")
 #: Histograms of fewer characters or words are not judged.
-MIN_CHARS, MIN_WORDS = 200, 100
+MIN_CHARS, MIN_WORDS = 300, 150
 #: Documents that a language needs to be a reference; the share of all documents likewise, which bounds the number of references.
 MIN_REFERENCE, MIN_SHARE = 20, 0.001
 #: Largest distances of a document that is kept.
