@@ -7,6 +7,11 @@ with a dictionary of the distinct words, so that Python work is done once for a
 
 from __future__ import annotations
 
+import os
+
+for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):  # tasks are the parallelism; takes effect where numpy isn't loaded yet
+    os.environ.setdefault(_name, "1")
+
 import shutil
 import tempfile
 import uuid

@@ -155,17 +155,32 @@ def first_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple
     return patterns, uses
 
 
+def inverse_of(a: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan steps, without a linear algebra library, whose threads may wait for each other under a JVM."""
+    n = len(a)
+    work = np.concatenate([a.astype(float), np.eye(n)], 1)
+    for i in range(n):
+        k = i + int(np.abs(work[i:, i]).argmax())
+        if k != i:
+            work[[i, k]] = work[[k, i]]
+        work[i] /= work[i, i]
+        rows = np.flatnonzero(work[:, i])
+        rows = rows[rows != i]
+        work[rows] -= work[rows, i][:, None] * work[i]
+    return work[:, n:]
+
+
 def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """(patterns, uses) of a nearly optimal linear program; a pattern is a row of items a class."""
     patterns, x = first_basis(lengths, demand, capacity)
-    inverse = np.linalg.inv(patterns.T.astype(float))  # columns of the basis are patterns
+    inverse = inverse_of(patterns.T)  # columns of the basis are patterns
     for _ in range(MAX_PATTERNS):
         price = inverse.sum(0)
         value, new = best_pattern(lengths, price, capacity)
-        bound = max((price @ demand) / value if value > 0 else 0, (lengths @ demand) / capacity)
+        bound = max((price * demand).sum() / value if value > 0 else 0, (lengths * demand).sum() / capacity)
         if value <= 1 + 1e-9 or x.sum() <= bound * (1 + GAP):
             break
-        turn = inverse @ new
+        turn = (inverse * new).sum(1)
         ratio = np.where(turn > 1e-9, x / np.where(turn > 1e-9, turn, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
