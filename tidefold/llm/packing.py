@@ -265,7 +265,7 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     counts = salted.groupBy("_class", "_salt").agg(F.count("*").alias("n"))
     before = c.materialize(counts.withColumn("_before", F.sum("n").over(W.partitionBy("_class").orderBy("_salt")) - F.col("n")).drop("n"))
     order = W.partitionBy("_class", "_salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = salted.withColumn("_row", F.row_number().over(order) - 1).join(before, ["_class", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_row"))
+    ranked = salted.withColumn("_row", F.row_number().over(order) - 1).join(before.hint("merge"), ["_class", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_row"))
 
     def run(batches):
         for b in batches:
