@@ -456,3 +456,22 @@ def test_strange_text_is_rejected(spark):
     rows = [(i, make(rng.randint(30, 200)), "en") for i in range(60)] + [(100, " ".join(f"{w}***" for w in make(150).split()), "en"), (101, make(150).upper().replace(" ", "!! "), "en")]
     got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id int, text string, lang string")).collect()}
     assert all(got[i] for i in range(60)) and not got[100] and not got[101]
+
+
+def _prose(rng, common, n):
+    return " ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice("aeioutnrsl") for _ in range(rng.randint(2, 8))) for _ in range(n)) + "."
+
+
+@pytest.mark.parametrize("share", [0.001, 0.5])
+def test_small_languages_have_their_own_reference(spark, monkeypatch, share):
+    """share 0.5: the second language is too small for the driver and is joined; the third has too few documents, the fourth no name."""
+    monkeypatch.setattr(quality_rules, "MIN_SHARE", share)
+    rng = random.Random(11)
+    languages = [("en", ["the", "of", "and", "to", "in"], 90), ("xx", ["de", "la", "que", "el", "los"], 30), ("yy", ["der", "die", "und", "das"], 6), (None, ["der", "die", "und", "das"], 3)]
+    rows = [(100 * k + i, _prose(rng, w, 250), name, "own") for k, (name, w, n) in enumerate(languages) for i in range(n)]
+    junk = [(1000 + i, " ".join(f"{w}***" for w in _prose(rng, ["los"], 200).split()), name, "own") for i, name in enumerate(["en", "xx"])]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows + junk, "doc_id int, text string, lang string, kept string")).collect()}
+    assert len(got) == len(rows) + 2
+    assert [i for i, *_ in rows if not got[i].kept] == []
+    assert not got[1000].kept and not got[1001].kept
+    assert max(got[i].word_distance for i in range(100, 130)) < 0.3

@@ -5,13 +5,16 @@ those of each language by Jensen-Shannon distance (base 2, so 0 to 1). Two passe
 documents: the first sums the histograms of each language, the second judges.
 
 Null text counts as empty: all counts 0, base_failed true. Documents too short for a histogram to
-mean anything are not judged by it (MIN_CHARS, MIN_WORDS). A table without any language of
-MIN_REFERENCE documents has no references, and then only the base rules hold. Repeated rows are
-judged alike; input columns with the names of results give way to them.
+mean anything are not judged by it (MIN_CHARS, MIN_WORDS). Every language of MIN_REFERENCE documents
+has a reference. A document whose language has none, or that has no language, is not judged by other
+languages: only the base rules hold for it. Repeated rows are judged alike; input columns with the
+names of results give way to them.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,7 +36,7 @@ VOCABULARY = sorted({w for words in COMMON_WORDS.values() for w in words.split()
 CLASSES = ("lower", "upper", "digit", "space", "stop", "mark", "symbol", "other", "beyond")
 #: Histograms of fewer characters or words are not judged.
 MIN_CHARS, MIN_WORDS = 300, 150
-#: Documents that a language needs to be a reference; the share of all documents likewise, which bounds the number of references.
+#: Documents that a language needs to be a reference; those with this share of all documents or more go to every task, the others are joined.
 MIN_REFERENCE, MIN_SHARE = 20, 0.001
 #: Largest distances of a document that is kept.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.36
@@ -97,9 +100,9 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance of each row of counts p from the counts q; 0 where a row is empty."""
+    """Jensen-Shannon distance of each row of counts p from the counts q, or from its own row of them; 0 where a row of p is empty."""
     total = p.sum(1, keepdims=True)
-    p, q = p / np.maximum(total, 1), q / max(q.sum(), 1)
+    p, q = p / np.maximum(total, 1), q / np.maximum(q.sum(-1, keepdims=True), 1)
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         kl = lambda x: np.where(x > 0, x * np.log2(np.where(x > 0, x, 1) / np.where(m > 0, m, 1)), 0).sum(1)
@@ -107,10 +110,18 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, out, 0)
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[np.ndarray, np.ndarray]]:
+@dataclass
+class References:
+    """Summed histograms: of the large languages here (name: classes, words), of all others as rows (_lang, _ref)."""
+
+    large: dict[str, tuple[np.ndarray, np.ndarray]]
+    small: DataFrame | None
+
+
+def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> References:
     """(classes, words) summed over the documents of each language that pass the base rules.
 
-    At most 1 / MIN_SHARE languages, with as many counts as there are bins, come to the driver.
+    The at most 1 / MIN_SHARE languages that have this share of the documents come to the driver; the others stay a table.
     """
     k, v = len(CLASSES), len(VOCABULARY) + 1
 
@@ -118,7 +129,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[
         m = measure(texts)
         both = np.concatenate([m["classes"], m["words"]], 1)
         both[m["base_failed"]] = 0
-        return [(~m["base_failed"]).astype(np.int64), pa.FixedSizeListArray.from_arrays(pa.array(both.ravel()), k + v).cast(pa.list_(pa.int64()))]
+        return [(~m["base_failed"]).astype(np.int64), _lists(both)]
 
     fields = [c.field("_n", "long"), c.field("_h", "array<long>")]
     sums = c.add_columns(docs.select(F.col(lang).cast("string").alias("_lang"), text), text, make, fields, ["_lang"])
@@ -126,19 +137,74 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[
     total = c.materialize(by)
     floor = max(MIN_REFERENCE, MIN_SHARE * (total.agg(F.sum("_n")).first()[0] or 0))
     rows = total.where(F.col("_n") >= floor).orderBy("_lang").collect()
-    return [(np.array(r[2 : 2 + k], float), np.array(r[2 + k :], float)) for r in rows]
+    small = total.where((F.col("_n") >= MIN_REFERENCE) & (F.col("_n") < floor))
+    small = c.materialize(small.select("_lang", F.array(*(f"h{i}" for i in range(k + v))).alias("_ref"))) if small.limit(1).count() else None
+    return References({r[0]: (np.array(r[2 : 2 + k], float), np.array(r[2 + k :], float)) for r in rows}, small)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
 
 
-def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None, refs: list | None = None) -> DataFrame:
+def _strange(kind: int, n: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Whether histograms of n characters (kind 0) or words (1) are too far from a reference."""
+    return (n >= (MIN_CHARS, MIN_WORDS)[kind]) & (far > (MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE)[kind])
+
+
+def _judge_by_own(t: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(rows with a reference of their own language in _ref, their distances from it, whether each is strange)."""
+    k = len(CLASSES)
+    at = np.flatnonzero(np.asarray(pc.is_valid(t.column("_ref"))))
+    h, ref = (np.asarray(pc.list_flatten(t.column(x).take(pa.array(at)))).reshape(len(at), k + len(VOCABULARY) + 1).astype(float) for x in ("_h", "_ref"))
+    far, strange = [], []
+    for i, part in enumerate((slice(k), slice(k, None))):
+        far.append(js_distance(h[:, part], ref[:, part]))
+        strange.append(_strange(i, h[:, part].sum(1), far[-1]))
+    return at, far, strange
+
+
+def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None, refs: References | None = None) -> DataFrame:
     """docs (its columns `keep`; all: None) with the counts, distances, base_failed and kept."""
     refs = references(docs, text, lang) if refs is None else refs
+    large, small = list(refs.large.values()), refs.small
+    joined = small is not None
 
     def make(texts):
         m = measure(texts)
-        far = [np.min([js_distance(m[kind], r[i]) for r in refs], 0) if refs else np.zeros(len(texts)) for i, kind in enumerate(("classes", "words"))]
-        n_chars = m["classes"].sum(1)
-        strange = (n_chars >= MIN_CHARS) & (far[0] > MAX_CHAR_DISTANCE) | (m["n_words"] >= MIN_WORDS) & (far[1] > MAX_WORD_DISTANCE)
-        return [*(m[x] for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), *far, m["base_failed"], ~(m["base_failed"] | strange)]
-
-    fields = [*(c.field(x, "long") for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), c.field("char_distance", "double"), c.field("word_distance", "double"), c.field("base_failed", "boolean"), c.field("kept", "boolean")]
-    return c.add_columns(docs, text, make, fields, keep)
+        far, strange = [], []
+        for i, kind in enumerate(("classes", "words")):
+            each = [js_distance(m[kind], r[i]) for r in large]
+            n = m[kind].sum(1)
+            far.append(np.min(each, 0) if large else np.zeros(len(n)))
+            strange.append(np.all([_strange(i, n, x) for x in each], 0) if large else np.ones(len(n), bool))
+        more = [_lists(np.concatenate([m["classes"], m["words"]], 1))] if joined else []
+        return [*(m[x] for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), *far, m["base_failed"], *strange, *more]
+
+    fields = [*(c.field(x, "long") for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), c.field("char_distance", "double"), c.field("word_distance", "double"), c.field("base_failed", "boolean")]
+    made = [f.name for f in fields]
+    kept = [x for x in (docs.columns if keep is None else keep) if x not in (*made, "kept")]
+    inner = [*fields, c.field("_odd_chars", "boolean"), c.field("_odd_words", "boolean"), *([c.field("_h", "array<long>")] if joined else [])]
+    known = F.coalesce(F.col("_lang").isin(list(refs.large)), F.lit(False))
+    out = c.add_columns(docs.select(*dict.fromkeys([*kept, text]), F.col(lang).cast("string").alias("_lang")), text, make, inner, [*kept, "_lang"])
+    if small is None:
+        out = out.withColumn("_judged", known)
+    else:
+        # only histograms of small languages meet a row; the others are dealt by their counts, so that they are no hot key
+        key = F.when(known | F.col("_lang").isNull(), F.concat(F.lit("\0"), F.xxhash64("_h").cast("string"))).otherwise(F.col("_lang"))
+        out = out.withColumn("_key", key).join(small.withColumnRenamed("_lang", "_key"), "_key", "left").withColumn("_judged", known | F.col("_ref").isNotNull())
+        order = [*kept, *made, "_odd_chars", "_odd_words", "_judged"]
+        schema = out.select(*order).schema
+
+        def own(batches):
+            for b in batches:
+                at, far, strange = _judge_by_own(b)
+                cols = {x: b.column(x) for x in order}
+                for name, new, smaller in (("char_distance", far[0], True), ("word_distance", far[1], True), ("_odd_chars", strange[0], False), ("_odd_words", strange[1], False)):
+                    x = np.array(cols[name])
+                    x[at] = (np.minimum(x[at], new) if large else new) if smaller else x[at] & new
+                    cols[name] = pa.array(x)
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=order)
+
+        out = out.select(*order, "_h", "_ref").mapInArrow(own, schema)
+    odd = F.col("_judged") & (F.col("_odd_chars") | F.col("_odd_words"))
+    return out.select(*kept, *made, (~(F.col("base_failed") | odd)).alias("kept"))
