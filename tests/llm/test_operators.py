@@ -364,6 +364,20 @@ def test_blocks_of_a_large_cell(spark, monkeypatch):
     assert got == {i: int(n) - 1 for i, n in enumerate((v @ v.T >= 0.9).sum(1))}
 
 
+def test_pairs_meet_in_every_direction(spark):
+    """Vectors of rank 16 in 768 dimensions, with partners at 0.90 to 0.93."""
+    rng = np.random.default_rng(6)
+    basis = np.linalg.qr(rng.normal(size=(768, 16)))[0].T
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x, y = unit(rng.normal(size=(700, 16))), rng.normal(size=(700, 16))
+    cos = rng.uniform(0.9, 0.93, (700, 1))
+    v = np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * unit(y - (x * y).sum(1, keepdims=True) * x)]) @ basis
+    got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_dedup(spark.createDataFrame([(i, z.tolist()) for i, z in enumerate(v)], "vec_id bigint, embedding array<double>")).collect()}
+    w = unit(v)
+    want = (w @ w.T >= 0.9).sum(1) - 1
+    assert want.sum() >= 1390 and got == dict(enumerate(want.tolist()))
+
+
 # --- 8 ----------------------------------------------------------------------------------------------
 
 

@@ -2,13 +2,13 @@
 
 Vectors that are equal form a class and go on as one with a weight. Centres are fitted on a bounded
 sample (SAMPLE vectors, chosen by a hash of the id); the number of cells follows the root of the
-number of classes, up to MAX_CELLS. A vector lives in the cell of its nearest centre and visits every
-other cell whose centre is at most `margin` less similar; the margin is three standard deviations of
-the difference that a pair just at the threshold can make (its direction taken as random), so that
-pairs meet in a cell with high probability, and most vectors visit few cells. Within a cell every
-home vector is compared with every visitor, in blocks of about BLOCK by BLOCK that are groups of their
-own, so that a cell with a third of all vectors is the work of many tasks. All products are exact, in
-double precision, so that no link is below the threshold.
+number of classes, up to MAX_CELLS. A vector lives in the cell of its nearest centre. Of two vectors
+that live apart, the one whose cell has the larger number visits the other's cell: it visits every
+smaller cell unless it is farther from the plane between the two centres than a vector on the other
+side of that plane can be at the threshold. This holds for every direction, so that no pair is missed.
+Within a cell every home vector is compared with every visitor, in blocks of about BLOCK by BLOCK that
+are groups of their own, so that a cell with a third of all vectors is the work of many tasks. All
+products are exact, in double precision, so that no link is below the threshold.
 
 A block gives for each vector the weight of its links, and for links not all pairs but each vector's
 least partner in the block, contracted; components come of these. Null or zero vectors, and those with
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidefold.llm import common as c
 
-SAMPLE, MAX_CELLS, ROUNDS, BLOCK = 20_000, 4096, 8, 1024
+SAMPLE, MAX_CELLS, ROUNDS, BLOCK = 20_000, 4096, 8, 2048
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -44,8 +44,23 @@ def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centres
 
 
-def margin(threshold: float, dim: int) -> float:
-    return min(2.0, 3 * np.sqrt(2) * np.sqrt(2 - 2 * threshold) / np.sqrt(max(dim, 1)))
+def reach(threshold: float) -> float:
+    """How far from a plane through zero a unit vector can be that has this cosine with one on the plane's other side.
+
+    The sine of the angle between the two; the addend is for rounding.
+    """
+    return float(np.sqrt(1 - threshold**2)) + 1e-7 if 0 < threshold < 1 else (1e-7 if threshold >= 1 else 1.0 + 1e-7)
+
+
+def visited(x: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home, visits) of unit vectors: the cell of each and, by cells, which it visits; it visits its own."""
+    s = x @ centres.T
+    home = s.argmax(1)
+    square = (centres * centres).sum(1)
+    apart = np.sqrt(np.maximum(square[home][:, None] + square - 2 * centres[home] @ centres.T, 0))
+    visits = s[np.arange(len(x)), home][:, None] - s <= reach(threshold) * apart + 1e-7
+    visits &= np.arange(len(centres)) <= home[:, None]
+    return home, visits
 
 
 def _vectors(binary: pa.Array) -> np.ndarray:
@@ -79,15 +94,13 @@ def _unit(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e")).mapInArrow(run, "vec_id long, dim long, v binary, k1 long, k2 long")
 
 
-def _assign(classes: DataFrame, centres: np.ndarray, gap: float) -> DataFrame:
+def _assign(classes: DataFrame, centres: np.ndarray, threshold: float) -> DataFrame:
     """classes with home and visits, the sorted cells of a vector."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, len(whole), 2048):
                 b = whole.slice(a, 2048)
-                s = _vectors(b.column("v")) @ centres.T
-                home = s.argmax(1)
-                visits = s >= s.max(1, keepdims=True) - gap
+                home, visits = visited(_vectors(b.column("v")), centres, threshold)
                 off = np.concatenate([[0], np.cumsum(visits.sum(1))])
                 cells = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.nonzero(visits)[1], pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("m"), b.column("v"), pa.array(home, pa.int32()), cells], names=["id", "m", "v", "home", "visits"])
@@ -110,11 +123,7 @@ def _compare(threshold: float):
             mh, mv = np.asarray(h.column("m")), np.asarray(v.column("m"))
             n[:nh] = hit @ mv
             home = np.asarray(v.column("home"))
-            away = home != cell
-            if away.any():  # a home vector that does not visit the other's cell is counted for both here
-                seen = [set(x) for x in h.column("visits").to_pylist()]
-                for y in np.flatnonzero(away & hit.any(0)):
-                    n[nh + y] = sum(int(mh[x]) for x in np.flatnonzero(hit[:, y]) if int(home[y]) not in seen[x])
+            n[nh:] = np.where(home != cell, mh @ hit, 0)  # vectors of one cell count each other from the home side
             big = np.iinfo(np.int64).max
             while True:  # the least id that a vector reaches within the block
                 lv = np.minimum(low[nh:], np.where(hit, low[:nh, None], big).min(0))
@@ -142,7 +151,7 @@ def embedding_dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     if not len(some):
         some = classes.select("v").limit(1).toArrow()
     centres = kmeans(_vectors(some.column("v").combine_chunks()), min(MAX_CELLS, max(1, int(np.sqrt(total) / 2))))
-    told = c.materialize(_assign(classes, centres, margin(threshold, dim)))
+    told = c.materialize(_assign(classes, centres, threshold))
     # two counts a cell, at most 2 * MAX_CELLS numbers
     homes = {r["home"]: r["n"] for r in told.groupBy("home").agg(F.count("*").alias("n")).collect()}
     visitors = {r["cell"]: r["n"] for r in told.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
@@ -167,9 +176,9 @@ def embedding_dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
                     rows += [k] * vp
                 at = pa.array(rows, pa.int64())
                 cols = [pa.array([x[i] for x in key], pa.int32()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([x[3] for x in key], pa.bool_()), *(b.column(x).take(at) for x in ("id", "m", "v", "home", "visits"))], names=["cell", "i", "j", "side", "id", "m", "v", "home", "visits"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([x[3] for x in key], pa.bool_()), *(b.column(x).take(at) for x in ("id", "m", "v", "home"))], names=["cell", "i", "j", "side", "id", "m", "v", "home"])
 
-    dealt = told.mapInArrow(deal, "cell int, i int, j int, side boolean, id long, m long, v binary, home int, visits array<int>")
+    dealt = told.mapInArrow(deal, "cell int, i int, j int, side boolean, id long, m long, v binary, home int")
     met = c.materialize(dealt.groupBy("cell", "i", "j").applyInArrow(_compare(threshold), "id long, n long, low long"))
     links = met.groupBy("id").agg(F.sum("n").alias("n"))
     comps = c.components(met.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
