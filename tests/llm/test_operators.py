@@ -378,6 +378,20 @@ def test_pairs_meet_in_every_direction(spark):
     assert want.sum() >= 1390 and got == dict(enumerate(want.tolist()))
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_every_length_is_compared(spark, monkeypatch, block):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    sets = [np.concatenate([x := rng.normal(size=(n, d)), x + rng.normal(size=(n, d)) * 0.05, x[:3]]) for n, d in ((40, 8), (30, 12), (2, 5))]
+    rows = [(1000 * k + i, z.tolist()) for k, v in enumerate(sets) for i, z in enumerate(v)]
+    want = {}
+    for k, v in enumerate(sets):
+        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+        want |= {1000 * k + i: int(n) - 1 for i, n in enumerate((v @ v.T >= 0.9).sum(1))}
+    got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == want and all(want[1000 * k] > 0 for k in range(3))
+
+
 # --- 8 ----------------------------------------------------------------------------------------------
 
 

@@ -12,8 +12,9 @@ products are exact, in double precision, so that no link is below the threshold.
 
 A block gives for each vector the weight of its links, and for links not all pairs but each vector's
 least partner in the block, contracted; components come of these. Null or zero vectors, and those with
-null or non-finite components, link with nothing, as do vectors of another length than most. Repeated
-rows are vectors of their own. Empty table: no rows.
+null or non-finite components, link with nothing. Vectors of different lengths do not link: each length has
+centres and cells of its own (one cell, up to BLOCK classes). Repeated rows are vectors of their own.
+Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -94,18 +95,32 @@ def _unit(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e")).mapInArrow(run, "vec_id long, dim long, v binary, k1 long, k2 long")
 
 
-def _assign(classes: DataFrame, centres: np.ndarray, threshold: float) -> DataFrame:
-    """classes with home and visits, the sorted cells of a vector."""
+def _assign(classes: DataFrame, centres: dict[int, np.ndarray], threshold: float) -> DataFrame:
+    """classes with home and visits, the sorted cells of a vector; a length without centres has cell 0 alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, len(whole), 2048):
-                b = whole.slice(a, 2048)
-                home, visits = visited(_vectors(b.column("v")), centres, threshold)
-                off = np.concatenate([[0], np.cumsum(visits.sum(1))])
-                cells = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.nonzero(visits)[1], pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("m"), b.column("v"), pa.array(home, pa.int32()), cells], names=["id", "m", "v", "home", "visits"])
-
-    return classes.select("id", "m", "v").mapInArrow(run, "id long, m long, v binary, home int, visits array<int>")
+            dims = np.asarray(whole.column("dim"))
+            for d in np.unique(dims):
+                own = whole.filter(pa.array(dims == d))
+                for a in range(0, len(own), 2048):
+                    b = own.slice(a, 2048)
+                    if int(d) in centres:
+                        home, visits = visited(_vectors(b.column("v")), centres[int(d)], threshold)
+                    else:
+                        home, visits = np.zeros(len(b), np.int64), np.ones((len(b), 1), bool)
+                    off = np.concatenate([[0], np.cumsum(visits.sum(1))])
+                    cells = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.nonzero(visits)[1], pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("dim", "id", "m", "v")), pa.array(home, pa.int32()), cells], names=["dim", "id", "m", "v", "home", "visits"])
+
+    return classes.select("dim", "id", "m", "v").mapInArrow(run, "dim long, id long, m long, v binary, home int, visits array<int>")
+
+
+def _centres(classes: DataFrame, dim: int, total: int) -> np.ndarray:
+    own = classes.where(F.col("dim") == dim)
+    some = own.where(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // SAMPLE)))) == 0).select("v").limit(2 * SAMPLE).toArrow()
+    if not len(some):
+        some = own.select("v").limit(1).toArrow()
+    return kmeans(_vectors(some.column("v").combine_chunks()), min(MAX_CELLS, max(1, int(np.sqrt(total) / 2))))
 
 
 def _compare(threshold: float):
@@ -140,21 +155,16 @@ def _compare(threshold: float):
 def embedding_dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id and kept."""
     unit = c.materialize(_unit(df, vec_id, embedding))
-    dims = unit.where("v is not null").groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    if dims is None:
+    good = unit.where(F.col("v").isNotNull() & F.col("vec_id").isNotNull())
+    if not good.limit(1).count():
         return unit.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = int(dims["dim"])
-    good = unit.where((F.col("dim") == dim) & F.col("v").isNotNull() & F.col("vec_id").isNotNull())
-    classes = c.materialize(good.groupBy("k1", "k2").agg(F.min(F.struct("vec_id", "v")).alias("f"), F.count("*").alias("m")).select("k1", "k2", F.col("f.vec_id").alias("id"), F.col("f.v").alias("v"), "m"))
-    total = classes.count()
-    some = classes.where(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // SAMPLE)))) == 0).select("v").limit(2 * SAMPLE).toArrow()
-    if not len(some):
-        some = classes.select("v").limit(1).toArrow()
-    centres = kmeans(_vectors(some.column("v").combine_chunks()), min(MAX_CELLS, max(1, int(np.sqrt(total) / 2))))
-    told = c.materialize(_assign(classes, centres, threshold))
-    # two counts a cell, at most 2 * MAX_CELLS numbers
-    homes = {r["home"]: r["n"] for r in told.groupBy("home").agg(F.count("*").alias("n")).collect()}
-    visitors = {r["cell"]: r["n"] for r in told.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    classes = c.materialize(good.groupBy("k1", "k2", "dim").agg(F.min(F.struct("vec_id", "v")).alias("f"), F.count("*").alias("m")).select("k1", "k2", "dim", F.col("f.vec_id").alias("id"), F.col("f.v").alias("v"), "m"))
+    # lengths of more than BLOCK classes; two counts a cell, at most 2 * MAX_CELLS numbers for each of them
+    large = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().where(F.col("count") > BLOCK).collect()}
+    told = c.materialize(_assign(classes, {d: _centres(classes, d, n) for d, n in sorted(large.items())}, threshold))
+    split = told.where(F.col("dim").isin(list(large)))
+    homes = {(r["dim"], r["home"]): r["n"] for r in split.groupBy("dim", "home").agg(F.count("*").alias("n")).collect()}
+    visitors = {(r["dim"], r["cell"]): r["n"] for r in split.select("dim", F.explode("visits").alias("cell")).groupBy("dim", "cell").agg(F.count("*").alias("n")).collect()}
     parts = {x: (-(-homes[x] // BLOCK), -(-visitors[x] // BLOCK)) for x in homes}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,25 +174,25 @@ def embedding_dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
                 ids = np.asarray(b.column("id"))
                 salt = c.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(11)
                 rows, key = [], []
-                for k, (home, visits) in enumerate(zip(b.column("home").to_pylist(), b.column("visits").to_pylist(), strict=True)):
+                for k, (d, home, visits) in enumerate(zip(*(b.column(x).to_pylist() for x in ("dim", "home", "visits")), strict=True)):
                     s = int(salt[k])
                     for x in visits:
-                        if x in parts:
-                            hp, vp = parts[x]
+                        if d not in large or (d, x) in parts:
+                            hp, vp = parts.get((d, x), (1, 1))
                             key += [(x, i, s % vp, False) for i in range(hp)]
                             rows += [k] * hp
-                    hp, vp = parts[home]
+                    hp, vp = parts.get((d, home), (1, 1))
                     key += [(home, s % hp, j, True) for j in range(vp)]
                     rows += [k] * vp
                 at = pa.array(rows, pa.int64())
                 cols = [pa.array([x[i] for x in key], pa.int32()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([x[3] for x in key], pa.bool_()), *(b.column(x).take(at) for x in ("id", "m", "v", "home"))], names=["cell", "i", "j", "side", "id", "m", "v", "home"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([x[3] for x in key], pa.bool_()), *(b.column(x).take(at) for x in ("dim", "id", "m", "v", "home"))], names=["cell", "i", "j", "side", "dim", "id", "m", "v", "home"])
 
-    dealt = told.mapInArrow(deal, "cell int, i int, j int, side boolean, id long, m long, v binary, home int")
-    met = c.materialize(dealt.groupBy("cell", "i", "j").applyInArrow(_compare(threshold), "id long, n long, low long"))
+    dealt = told.mapInArrow(deal, "cell int, i int, j int, side boolean, dim long, id long, m long, v binary, home int")
+    met = c.materialize(dealt.groupBy("dim", "cell", "i", "j").applyInArrow(_compare(threshold), "id long, n long, low long"))
     links = met.groupBy("id").agg(F.sum("n").alias("n"))
     comps = c.components(met.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
-    final = c.materialize(classes.join(links, "id", "left").join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("k1", "k2", F.lit(dim).cast("long").alias("dim"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
+    final = c.materialize(classes.join(links, "id", "left").join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("k1", "k2", "dim", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
     keyed = unit.select("vec_id", F.when(F.col("v").isNotNull() & F.col("vec_id").isNotNull(), F.col("k1")).alias("k1"), "k2", "dim")
     out = keyed.join(final, ["k1", "k2", "dim"], "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(True)).alias("kept"))
