@@ -503,3 +503,16 @@ def test_small_languages_have_their_own_reference(spark, monkeypatch, share):
     assert [i for i, *_ in rows if not got[i].kept] == []
     assert not got[1000].kept and not got[1001].kept
     assert max(got[i].word_distance for i in range(100, 130)) < 0.3
+
+
+def test_limits_follow_length():
+    """A long text at 0.3 is strange, a short one is not; samples of the reference are not."""
+    rng = np.random.default_rng(12)
+    ref = np.concatenate([rng.integers(1, 400, 110), [6000]]).astype(float)
+    e = quality_rules.sampled(ref)
+    for n in (40, 100, 1000, 5000):
+        x = rng.multinomial(n, ref / ref.sum(), size=200).astype(float)
+        far = quality_rules.js_distance(x, ref)
+        assert (far**2).mean() == pytest.approx(np.interp(np.log(n), np.log(quality_rules._SIZES), e), rel=0.1)
+        assert not quality_rules._strange(1, np.full(200, n), far, e).any()
+    assert quality_rules._strange(1, np.array([40, 5000]), np.array([0.3, 0.3]), e).tolist() == [False, True]

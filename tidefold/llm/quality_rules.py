@@ -2,7 +2,8 @@
 
 The histogram of a document's characters by class, and of its common words, are compared with
 those of each language by Jensen-Shannon distance (base 2, so 0 to 1). Two passes over the
-documents: the first sums the histograms of each language, the second judges.
+documents: the first sums the histograms of each language, the second judges. The limit depends on
+length: the squared distance that a sample of that size has by chance, and a margin.
 
 Null text counts as empty: all counts 0, base_failed true. Documents too short for a histogram to
 mean anything are not judged by it (MIN_CHARS, MIN_WORDS). Every language of MIN_REFERENCE documents
@@ -35,11 +36,13 @@ COMMON_WORDS = {
 VOCABULARY = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
 CLASSES = ("lower", "upper", "digit", "space", "stop", "mark", "symbol", "other", "beyond")
 #: Histograms of fewer characters or words are not judged.
-MIN_CHARS, MIN_WORDS = 300, 150
+MIN_CHARS, MIN_WORDS = 200, 40
 #: Documents that a language needs to be a reference; those with this share of all documents or more go to every task, the others are joined.
 MIN_REFERENCE, MIN_SHARE = 20, 0.001
-#: Largest distances of a document that is kept.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.36
+#: Largest distances of a very long document that is kept, of characters and words; what the expected squared distance of a
+#: sample of the document's size counts on top: words spread
+#: around it, and characters come in words and are far from independent. Chosen on the labels of sf0.1.
+MARGIN, SAMPLING = (0.16, 0.2), (20.0, 1.15)
 MIN_DOC_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 
 
@@ -146,9 +149,30 @@ def _lists(x: np.ndarray) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
 
 
-def _strange(kind: int, n: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Whether histograms of n characters (kind 0) or words (1) are too far from a reference."""
-    return (n >= (MIN_CHARS, MIN_WORDS)[kind]) & (far > (MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE)[kind])
+_SIZES = np.unique(np.geomspace(20, 1e6, 80).astype(np.int64)).astype(float)
+
+
+def sampled(q: np.ndarray) -> np.ndarray:
+    """The expected squared distance from q of _SIZES draws from it, with Poisson counts; near 1 / 8 n ln 2 a bin where counts are large."""
+    p = q[q > 0] / max(q.sum(), 1)
+    x = np.arange(100.0)
+    log_factorial = np.concatenate([[0], np.cumsum(np.log(x[1:]))])
+    out = []
+    for n in _SIZES:
+        mean = p * n
+        some = mean[mean <= 40]
+        weight = np.exp(x * np.log(some)[:, None] - some[:, None] - log_factorial)
+        a, b = np.broadcast_to(x, weight.shape), np.broadcast_to(some[:, None], weight.shape)
+        m = (a + b) / 2
+        gain = np.where(a > 0, a * np.log2(np.where(a > 0, a, 1) / m), 0) + b * np.log2(b / m)
+        out.append((weight * gain).sum() / (2 * n) + ((1 - p[mean > 40]) / (8 * n * np.log(2))).sum())
+    return np.array(out)
+
+
+def _strange(kind: int, n: np.ndarray, far: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Whether histograms of n characters (kind 0) or words (1) are farther from a reference than samples of their size and the margin."""
+    noise = np.interp(np.log(np.maximum(n, 1)), np.log(_SIZES), expected)
+    return (n >= (MIN_CHARS, MIN_WORDS)[kind]) & (far**2 > MARGIN[kind] ** 2 + SAMPLING[kind] * noise)
 
 
 def _judge_by_own(t: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -159,7 +183,12 @@ def _judge_by_own(t: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray], list
     far, strange = [], []
     for i, part in enumerate((slice(k), slice(k, None))):
         far.append(js_distance(h[:, part], ref[:, part]))
-        strange.append(_strange(i, h[:, part].sum(1), far[-1]))
+        n, odd = h[:, part].sum(1), np.zeros(len(at), bool)
+        _, first, group = np.unique(ref, axis=0, return_index=True, return_inverse=True)
+        for g, f in enumerate(first):
+            rows = group.ravel() == g
+            odd[rows] = _strange(i, n[rows], far[-1][rows], sampled(ref[f, part]))
+        strange.append(odd)
     return at, far, strange
 
 
@@ -168,6 +197,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep:
     refs = references(docs, text, lang) if refs is None else refs
     large, small = list(refs.large.values()), refs.small
     joined = small is not None
+    expected = [[sampled(r[i]) for r in large] for i in range(2)]
 
     def make(texts):
         m = measure(texts)
@@ -176,7 +206,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep:
             each = [js_distance(m[kind], r[i]) for r in large]
             n = m[kind].sum(1)
             far.append(np.min(each, 0) if large else np.zeros(len(n)))
-            strange.append(np.all([_strange(i, n, x) for x in each], 0) if large else np.ones(len(n), bool))
+            strange.append(np.all([_strange(i, n, x, e) for x, e in zip(each, expected[i], strict=True)], 0) if large else np.ones(len(n), bool))
         more = [_lists(np.concatenate([m["classes"], m["words"]], 1))] if joined else []
         return [*(m[x] for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), *far, m["base_failed"], *strange, *more]
 
