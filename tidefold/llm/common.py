@@ -12,10 +12,11 @@ import os
 for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):  # tasks are the parallelism; takes effect where numpy isn't loaded yet
     os.environ.setdefault(_name, "1")
 
+import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
-import atexit
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -37,9 +38,11 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one where none is set, as in tests."""
+    """The shared folder named in spark.checkpoint.dir; a local one where none is set and all runs on one machine, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidefold-")
         spark.conf.set("spark.checkpoint.dir", base)
         atexit.register(shutil.rmtree, base, True)
@@ -58,6 +61,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_bytes(docs: DataFrame, text: str) -> int:
+    """Bytes of all texts: what the number of blocks and buckets follows."""
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
 # --- hashes ---------------------------------------------------------------------------------
 
 
@@ -77,9 +85,6 @@ def seeds(n: int, seed: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=np.uint64) * _R + np.uint64(seed * 7919 + 1))
 
 
-_BYTES = {s: seeds(256, 100 + s) for s in (0, 1)}
-
-
 def _buffers(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (from 0) and bytes of a string array without nulls."""
     if pa.types.is_large_string(a.type) or pa.types.is_large_binary(a.type):
@@ -100,33 +105,48 @@ def segment_sum(x: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
+def digests(off: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2b of each string, as two columns: no two strings are known to share them."""
+    raw = data.tobytes()
+    at = off.tolist()
+    parts = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
+    return np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2)
+
+
 def hash_bytes(off: np.ndarray, data: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each string."""
-    n = np.diff(off)
-    if not len(n):
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(max(int(n.max()), 1), _R | np.uint64(1 + 2 * seed), np.uint64))
-        at = np.arange(len(data)) - np.repeat(off[:-1], n)
-        return mix(segment_sum(_BYTES[seed][data] * power[at], off) + n.astype(np.uint64) * _M2)
+    """The first (seed 0) or second (seed 1) 64 bits of each string's digest."""
+    return np.ascontiguousarray(digests(off, data)[:, seed])
 
 
 def hash_strings(a: pa.Array, seed: int = 0) -> np.ndarray:
     return hash_bytes(*_buffers(a), seed)
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each pair, in this order."""
+    return mix(a * _R + b)
+
+
 def rolling(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """A hash of each k consecutive values; the last k - 1 places are left out."""
+    """A hash of each k consecutive values; the last k - 1 places are left out.
+
+    Runs of 1, 2, 4 ... values are joined pairwise, each time through the finalizer, so that it is no
+    linear function of the values. Two hashes of one run are independent if those of its values are.
+    """
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        base = _M1 | np.uint64(1) if seed else _R
-        out = h[:n].copy()
-        for j in range(1, k):
-            out *= base
-            out += h[j : j + n]
-        return mix(out + np.uint64(k))
+        run, size, out, have, left = h, 1, None, 0, k
+        while left:
+            if left & 1:
+                part = run[have : have + n]
+                out = part if out is None else _joined(out, part)
+                have += size
+            left >>= 1
+            if left:
+                run, size = _joined(run[:-size], run[size:]), 2 * size
+        return mix(out + np.uint64(k + 1000 * seed))
 
 
 # --- words ----------------------------------------------------------------------------------
@@ -139,9 +159,14 @@ class Words:
     codes: np.ndarray
     off: np.ndarray
     dictionary: pa.Array
+    _digests: np.ndarray | None = None
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        return hash_strings(self.dictionary, seed)[self.codes] if len(self.codes) else np.zeros(0, np.uint64)
+        if not len(self.codes):
+            return np.zeros(0, np.uint64)
+        if self._digests is None:
+            self._digests = digests(*_buffers(self.dictionary))
+        return self._digests[:, seed][self.codes]
 
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.off) - 1), np.diff(self.off))
