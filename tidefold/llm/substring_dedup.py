@@ -16,12 +16,14 @@ sends each distinct anchor once, as bytes, to the bucket of its upper bits, what
 documents that have it, and a bucket answers with the anchors that are shared. The block then sends
 each distinct window that may be repeated once, with the least doc_id here, and the answer lists those
 that have a smaller one elsewhere. So a passage in a third of all documents costs one entry a block, no
-task holds more than its block or bucket, and the number of both follows spark.sql.shuffle.partitions.
+task holds more than its block or bucket. The number of both follows spark.sql.shuffle.partitions, and the
+bytes of the texts where these are more.
 
 Texts that are wholly equal are collapsed before: only the one with the smallest doc_id takes part,
-and of the others every word goes, if they have a whole window. Null and empty texts have no words.
-Rows with one doc_id are one document's for the rule "smaller doc_id", each with its own result. Rows
-whose doc_id is null neither remove nor lose words. The operator's columns win over clashing ones.
+and of the others every word goes, if they have a whole window. Such a copy is known by its doc_id and
+a digest of its text, as rows with one doc_id may differ. Null and empty texts have no words. Rows with
+one doc_id are one document's for the rule "smaller doc_id", each with its own result. Rows whose
+doc_id is null neither remove nor lose words. The operator's columns win over clashing ones.
 """
 
 from __future__ import annotations
@@ -39,8 +41,10 @@ from pyspark.sql import types as T
 from tidefold.llm import common as c
 
 WINDOW, PERIOD = 13, 7
-#: Blocks, and buckets, for each of spark.sql.shuffle.partitions. A block sends a row to each bucket.
+#: Blocks, and buckets, for each of spark.sql.shuffle.partitions; there are more where they would hold more bytes of text.
+#: A block sends a row to each bucket.
 BLOCKS_EACH, BUCKETS_EACH = 4, 0.5
+BLOCK_BYTES, BUCKET_BYTES = 32 << 20, 64 << 20
 
 
 def difference_cover(period: int) -> list[int]:
@@ -64,6 +68,8 @@ def _anchors(w: c.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, c.rolling(h, size)[at]
 
 
+#: Bytes of a text's digest.
+DIGEST = 16
 _COLUMNS = "bucket int, block int, kind int, a binary, b binary, c binary"
 _EMPTY = np.zeros(0, np.uint64)
 
@@ -78,11 +84,21 @@ def _read(t: pa.Table, kind: int, column: str, dtype: type) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype)
 
 
-def _judged(part: pa.RecordBatch, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(doc_id or 0, whether the row takes part): not rows without id, nor copies of an earlier whole text."""
+def _copies(t: pa.Table) -> set[tuple[int, bytes]]:
+    """(doc_id, digest) of the block's copies of an earlier whole text."""
+    ids, digests = _read(t, _COPIES, "a", np.int64).tolist(), _read(t, _COPIES, "b", np.uint8).reshape(-1, DIGEST)
+    return set(zip(ids, (x.tobytes() for x in digests), strict=True))
+
+
+def _judged(part: pa.RecordBatch, copies: set[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_id or 0, whether the row takes part, whether it is a copy of an earlier whole text): rows without id do not."""
     ids = part.column("_id")
-    own = np.asarray(pc.fill_null(ids, 0)).astype(np.int64)
-    return own, ~np.isin(own, copies) & np.asarray(ids.is_valid())
+    own, known = np.asarray(pc.fill_null(ids, 0)).astype(np.int64), np.asarray(ids.is_valid())
+    copy = np.zeros(len(own), bool)
+    if copies:
+        copy[:] = [x in copies for x in zip(own.tolist(), part.column("_x").to_pylist(), strict=True)]
+    copy &= known
+    return own, known & ~copy, copy
 
 
 def _rows(block: int | None, bucket: np.ndarray, kind: int, *columns: np.ndarray) -> pa.Table:
@@ -106,10 +122,10 @@ _COPIES, _ANCHORS, _WINDOWS = 0, 1, 2
 
 def _send_anchors(buckets: int):
     def run(key: tuple, block: pa.Table, told: pa.Table) -> pa.Table:
-        copies, hashes, owners = _read(told, _COPIES, "a", np.int64), [_EMPTY], [np.zeros(0, np.int64)]
+        copies, hashes, owners = _copies(told), [_EMPTY], [np.zeros(0, np.int64)]
         for part in _parts(block):
             w = c.split_words(c.texts_of(part.column("_text")))
-            own, on = _judged(part, copies)
+            own, on, _ = _judged(part, copies)
             at, h = _anchors(w, w.hashes())
             doc = w.doc()[at]
             h, own = h[on[doc]], own[doc[on[doc]]]
@@ -156,10 +172,10 @@ def _hits(w: c.Words, h: np.ndarray, on: np.ndarray, shared: np.ndarray) -> np.n
 
 def _send_windows(buckets: int):
     def run(key: tuple, block: pa.Table, told: pa.Table) -> pa.Table:
-        copies, shared, out = _read(told, _COPIES, "a", np.int64), np.unique(_read(told, _ANCHORS, "a", np.uint64)), []
+        copies, shared, out = _copies(told), np.unique(_read(told, _ANCHORS, "a", np.uint64)), []
         for part in _parts(block) if len(shared) else ():
             w = c.split_words(c.texts_of(part.column("_text")))
-            own, on = _judged(part, copies)
+            own, on, _ = _judged(part, copies)
             h = w.hashes()
             hit = _hits(w, h, on, shared)
             if len(hit):
@@ -193,18 +209,18 @@ def _earlier_windows(t: pa.Table) -> pa.Table:
 
 def _remove(kept: list[str], text: str):
     def run(block: pa.Table, told: pa.Table) -> pa.Table:
-        copies = _read(told, _COPIES, "a", np.int64)
+        copies = _copies(told)
         late = np.stack([_read(told, _WINDOWS, "a", np.uint64), _read(told, _WINDOWS, "b", np.uint64)])
         late = late[:, np.argsort(late[0], kind="stable")]
         # windows of this block that one of its own documents has before another, and those that are told
         seen, kept_parts = [], []
         for part in _parts(block):
             w = c.split_words(c.texts_of(part.column("_text")))
-            own, on = _judged(part, copies)
+            own, on, copy = _judged(part, copies)
             at = np.flatnonzero(w.windows(WINDOW))
             at = at[on[w.doc()[at]]]
             seen.append((c.rolling(w.hashes(), WINDOW)[at], c.rolling(w.hashes(1), WINDOW, 1)[at], own[w.doc()[at]]))
-            kept_parts.append((part, w, own, at))
+            kept_parts.append((part, w, copy, at))
         h1, h2, own = (np.concatenate(x) for x in zip(*seen, strict=True)) if seen else (_EMPTY, _EMPTY, np.zeros(0, np.int64))
         seen.clear()
         gone = np.zeros(len(h1), bool)
@@ -231,7 +247,7 @@ def _remove(kept: list[str], text: str):
                     gone[hit[same & (late[1][k] == h2[hit])]] = True
                     hit = hit[same]
         done, out = 0, []
-        for part, w, own, at in kept_parts:
+        for part, w, copy, at in kept_parts:
             n = np.diff(w.off)
             mark = np.zeros(len(w.codes) + 1, np.int64)
             start = at[gone[done : done + len(at)]]
@@ -239,7 +255,7 @@ def _remove(kept: list[str], text: str):
             np.add.at(mark, start, 1)
             np.add.at(mark, start + WINDOW, -1)
             off = np.cumsum(mark)[:-1] > 0
-            off |= np.repeat(np.isin(own, copies) & np.asarray(part.column("_id").is_valid()) & (n >= WINDOW), n)
+            off |= np.repeat(copy & (n >= WINDOW), n)
             words = w.dictionary.take(pa.array(w.codes[~off]))
             bounds = np.concatenate([[0], np.cumsum(~off)])[w.off]
             joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words), " ")
@@ -250,28 +266,31 @@ def _remove(kept: list[str], text: str):
 
 
 def copies_of(docs: DataFrame) -> DataFrame:
-    """(_id, _block) of (_id, _text, _block): rows whose whole text an earlier row has."""
-    ids = docs.where((F.length("_text") > 2 * WINDOW - 2) & F.col("_id").isNotNull()).select("_id", "_block", F.xxhash64("_text").alias("_x"), F.md5("_text").alias("_y"))
-    ids = c.materialize(ids)
-    first = c.materialize(ids.groupBy("_x", "_y").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last"))
-    return c.materialize(ids.join(first, ["_x", "_y"]).where("_id > _first").select("_id", "_block"))
+    """(_id, _block, _x) of (_id, _x, _block): rows whose whole text an earlier row has."""
+    ids = c.materialize(docs.where(F.col("_x").isNotNull()).select("_id", "_block", "_x"))
+    first = c.materialize(ids.groupBy("_x").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last"))
+    return c.materialize(ids.join(first, "_x").where("_id > _first").select("_id", "_block", "_x"))
 
 
 def _pack_ids(batches):
-    """The ids of each block among the rows of a task, as bytes."""
+    """The ids and digests of each block among the rows of a task, as bytes."""
     for b in batches:
         block, ids = np.asarray(b.column("_block")), np.asarray(b.column("_id"))
+        digests = np.frombuffer(b"".join(b.column("_x").to_pylist()), np.uint8).reshape(-1, DIGEST)
         order = np.argsort(block, kind="stable")
-        out = _rows(None, block[order].astype(np.int64), _COPIES, ids[order])
+        out = _rows(None, block[order].astype(np.int64), _COPIES, ids[order], digests[order])
         yield from out.set_column(1, "block", out.column("bucket")).to_batches()
 
 
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (its columns `keep`; all: None) with n_words, n_removed and kept_text, the kept words joined by a space."""
     kept = [x for x in (docs.columns if keep is None else keep) if x not in ("n_words", "n_removed", "kept_text")]
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    block, n = F.pmod(F.xxhash64(doc_id, text), F.lit(n * BLOCKS_EACH)).cast("int"), max(1, int(n * BUCKETS_EACH))
-    blocks = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), block.alias("_block"), *(F.col(x).alias(f"_c{i}") for i, x in enumerate(kept) if x != text))
+    n, size = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), c.text_bytes(docs, text)
+    block = F.pmod(F.xxhash64(doc_id, text), F.lit(max(n * BLOCKS_EACH, -(-size // BLOCK_BYTES)))).cast("int")
+    n = max(1, int(n * BUCKETS_EACH), -(-size // BUCKET_BYTES))
+    long = F.col(doc_id).isNotNull() & (F.length(text) > 2 * WINDOW - 2)  # a window has as many characters
+    digest_ = F.when(long, F.substring(F.unhex(F.sha2(F.col(text).cast("binary"), 256)), 1, DIGEST))
+    blocks = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), digest_.alias("_x"), block.alias("_block"), *(F.col(x).alias(f"_c{i}") for i, x in enumerate(kept) if x != text))
     copies = c.materialize(copies_of(blocks).mapInArrow(_pack_ids, _COLUMNS))
     by = blocks.groupBy("_block")
     told = lambda *more: _union(copies, *more).groupBy("block")
