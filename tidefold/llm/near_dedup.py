@@ -15,8 +15,11 @@ pairs as members. Links so found are contracted to components. What is left are
 several components; their sets are compared in full, in blocks of bounded size, so that no link
 between different components is missed, and no pairs of sets are ever written but links.
 
+Shingles are 64 bits of the joined BLAKE2b digests of their words; classes are told apart by 128.
+
 Null and empty texts, and texts without words, have the empty set and are linked with nothing.
-Repeated rows are members of one class. doc_id null: such rows are returned with their own set size,
+Repeated rows are members of one class. Rows that share a doc_id but not a text are rows of their own:
+each has the component of its own text. doc_id null: such rows are returned with their own set size,
 linked with nothing and kept. Of clashing input columns the operator's own win.
 """
 
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.llm import common as c
@@ -108,16 +111,25 @@ def _features(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         return [np.diff(off).astype(np.int64), c.signed(k1), c.signed(k2), listed]
 
     fields = [c.field("n_shingles", "long"), c.field("_k1", "long"), c.field("_k2", "long"), c.field("_bands", "array<long>")]
-    return c.add_columns(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text", make, fields, ["doc_id"])
+    return c.add_columns(_rows(docs, doc_id, text), "_text", make, fields, ["doc_id", "digest"])
+
+
+def digest_of(text: Column) -> Column:
+    """What tells two texts under one doc_id apart."""
+    return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest_of(F.col(text)).alias("digest"), F.col(text).alias("_text"))
 
 
-def _sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, set) of the documents in ids(id): the sorted hashes as bytes."""
+def _sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, set) of nodes(id, doc_id, digest): the sorted hashes of such a document as bytes."""
     def make(texts):
         off, h = shingle_sets(texts)
         return [c.blobs([h[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)])]
 
-    some = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("_text")).join(ids, "id", "left_semi").dropDuplicates(["id"])
+    some = _rows(docs, doc_id, text).join(nodes, ["doc_id", "digest"]).select("id", "_text").dropDuplicates(["id"])
     return c.add_columns(some, "_text", make, [c.field("set", "binary")], ["id"])
 
 
@@ -170,15 +182,19 @@ def _rest(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept."""
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (that is its own), digest
+    (of the text) and first: whether its doc_id and digest are the least of its group."""
     features = c.materialize(_features(docs, doc_id, text))
     key = ["n_shingles", "_k1", "_k2"]
     linked = features.where("n_shingles > 0 and doc_id is not null")
-    classes = c.materialize(linked.groupBy(*key).agg(F.min(F.struct("doc_id", "_bands")).alias("m")).select(*key, F.col("m.doc_id").alias("id"), F.col("m._bands").alias("_bands")))
+    # a class has a number of its own, as one doc_id may have several texts; it is fixed when the table is written
+    least = linked.groupBy(*key).agg(F.min(F.struct("doc_id", "digest", "_bands")).alias("m")).select(*key, "m.*")
+    classes = c.materialize(least.withColumn("id", F.monotonically_increasing_id()))
     buckets = classes.select("id", F.explode("_bands").alias("key"))
     centres = c.materialize(buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"))
     shared = c.materialize(buckets.join(centres, "key"))
-    sets = c.materialize(_sets(docs, shared.select("id").distinct(), doc_id, text))
+    nodes = classes.select("id", "doc_id", "digest").join(shared.select("id").distinct(), "id")
+    sets = c.materialize(_sets(docs, nodes, doc_id, text))
     stars = shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
     first = c.materialize(_check_pairs(stars.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a"), percent))
     comps = c.components(first)
@@ -187,6 +203,11 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     mixed = c.materialize(known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
     more = c.materialize(_rest(c.materialize(known.join(mixed, "key")), sets, percent))
     comps = c.components(first.union(more))
-    final = c.materialize(classes.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select(*key, F.coalesce("component", "id").alias("component_id")))
-    out = features.drop("_bands").join(final, key, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    grouped = classes.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select(*key, "doc_id", "digest", F.coalesce("component", "id").alias("component"))
+    grouped = c.materialize(grouped)
+    head = c.materialize(grouped.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("head")))
+    final = c.materialize(grouped.select(*key, "component").join(head, "component").select(*key, "head"))
+    own = F.struct("doc_id", "digest")
+    out = features.drop("_bands").join(final, key, "left").withColumn("head", F.when(F.col("doc_id").isNotNull(), F.coalesce("head", own)))
+    yes = lambda x: F.coalesce(x, F.lit(True))
+    return out.select("doc_id", "n_shingles", F.col("head.doc_id").alias("component_id"), yes(F.col("doc_id") == F.col("head.doc_id")).alias("kept"), "digest", yes(own == F.col("head")).alias("first"))
