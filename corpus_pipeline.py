@@ -37,10 +37,15 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id; rows without doc_id stay."""
-    kept = common.materialize(near_dedup.near_dedup(docs, percent=80).where("kept and doc_id is not null").select("doc_id").distinct())
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of near duplicates, that with the smallest doc_id (of several texts under it, the least by
+    digest; of equal rows, one). Rows that share a doc_id but not a text are judged each by its own text. Rows without doc_id or
+    without words stay."""
+    kept = near_dedup.near_dedup(docs, percent=80).where("first and n_shingles > 0 and doc_id is not null")
+    kept = common.materialize(kept.select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct())
+    rows = docs.withColumns({"_kept_id": F.col("doc_id").cast("long"), "_kept_digest": near_dedup.digest_of(F.col("text"))})
+    one = rows.join(kept, ["_kept_id", "_kept_digest"], "left_semi").dropDuplicates(["_kept_id", "_kept_digest"])
+    loose = docs.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return one.select(*docs.columns).unionByName(loose)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
