@@ -169,50 +169,87 @@ def test_license_scan(spark, nothing):
 # --- 3 ----------------------------------------------------------------------------------------------
 
 
-def test_language_model(docs, nothing, corpus):
-    got = suffix_tree_lm.score(docs).collect()
+def brute_tree(texts, depth):
+    """(states: context -> (n, counts), root counts, N, V) of training texts as lists of words."""
+    grams, total = Counter(), Counter()
+    for t in texts:
+        x = (None, *t, None)
+        total.update(x[1:])
+        for n in range(1, depth + 2):
+            grams.update(x[i : i + n] for i in range(len(x) - n + 1) if n > 1 or i)
+    n_all, after = sum(total.values()), {}
+    for g, k in grams.items():
+        if len(g) > 1:
+            after.setdefault(g[:-1], Counter())[g[-1]] = k
+    states = {}
+    for s, nexts in after.items():
+        n, twice = sum(nexts.values()), {w: k for w, k in nexts.items() if k >= 2}
+        if twice:
+            below = lambda w, s=s: after[s[1:]][w] / sum(after[s[1:]].values()) if len(s) > 1 else total[w] / n_all
+            less = sum(k - 1 for k in twice.values())
+            gain = sum(k * math.log((k - 1) / n / below(w)) for w, k in twice.items()) + (n - sum(twice.values())) * math.log(1 - less / n)
+            if gain >= suffix_tree_lm.GAIN * len(twice):
+                states[s] = (n, twice, less)
+    return states, total, n_all, len(total)
+
+
+def brute_probability(tree, context, w, depth):
+    states, total, n_all, v = tree
+    p = (total[w] + 1) / (n_all + v + 1)
+    used = 0
+    for d in range(1, min(depth, len(context)) + 1):
+        if (s := states.get(context[-d:])) is not None:
+            n, twice, less = s
+            p, used = (twice.get(w, 1) - 1) / n + (1 - less / n) * p, d
+    return p, used
+
+
+@pytest.mark.parametrize("depth", [1, 3])
+def test_language_model(docs, nothing, corpus, depth):
+    got = suffix_tree_lm.score(docs, depth=depth).collect()
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    count = Counter(w for i, t in rows if not held(i) for w in [*lowered(t), None])
-    n, v = sum(count.values()), len(count)
+    tree = brute_tree([lowered(t) for i, t in rows if not held(i)], depth)
+    states, count, n, v = tree
     tokens = {i: [*lowered(t), None] for i, t in rows}
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and len(states) > 100 and (depth == 1 or max(map(len, states)) == 3)
     for r in got:
         t = tokens[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(t), sum(count[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t), rel=1e-9)
-        assert math.isfinite(r.score) and r.score < 0
+        each = [brute_probability(tree, (None, *t[:i]), w, depth) for i, w in enumerate(t)]
+        assert r.score == pytest.approx(sum(math.log10(p) for p, _ in each), rel=1e-9)
+        assert r.n_context == sum(d > 0 for _, d in each)
     assert suffix_tree_lm.score(nothing).count() == 0
     only_held = docs.where(F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
     assert {r.train_tokens for r in suffix_tree_lm.score(only_held).collect()} == {0}
 
 
-def test_tree_is_a_distribution():
-    rng = np.random.default_rng(2)
-    seqs = [rng.integers(0, 4, n) for n in rng.integers(0, 60, 80)]
-    off, data = np.concatenate([[0], np.cumsum([len(s) for s in seqs])]), np.concatenate(seqs)
-    tree = suffix_tree_lm.Tree(np.arange(3, dtype=np.uint64), 5)
-
-    def count(t):
-        out = np.zeros((int(t.step[-1].max()) + 1 if t.step else 1) * t.size)
-        key, n = suffix_tree_lm.count_next(t, off, np.minimum(data, 3))
-        out[key] = n
-        return out.reshape(-1, t.size)
-
-    suffix_tree_lm.grow(tree, count, depth=3, least=0.001)
-    assert len(tree.logp) > 2
-    for p in tree.logp:
-        assert np.allclose((10 ** p.astype(float).reshape(-1, tree.size)).sum(1), 1, atol=1e-5)
-    # by hand: the longest context that is a state
-    one = np.array([0, 1, 2, 3, 0])
-    got = suffix_tree_lm.symbol_scores(tree, np.array([0, 5]), one)[0]
-    seq, total = [4, *one, 4], 0.0
-    for i in range(1, len(seq)):
-        state, depth = 0, 0
-        while depth < len(tree.step) and depth < i and (nxt := tree.step[depth][state * 5 + seq[i - 1 - depth]]) >= 0:
-            state, depth = nxt, depth + 1
-        total += tree.logp[depth][state * 5 + seq[i]]
-    assert got == pytest.approx(total, abs=1e-4)
+def test_tree_is_a_distribution(corpus):
+    tree = brute_tree([lowered(t) for _, t, _ in corpus], 3)
+    contexts = random.Random(3).sample(sorted(tree[0], key=str), 60)
+    for s in contexts:
+        assert sum(brute_probability(tree, s, w, 3)[0] for w in [*tree[1], "a word not seen"]) == pytest.approx(1)
+
+
+def test_slices_and_buckets_do_not_matter(spark, docs, monkeypatch):
+    monkeypatch.setattr(suffix_tree_lm, "SLICE_BYTES", 2000)
+    few = {(r.doc_id, r.score) for r in suffix_tree_lm.score(docs).collect()}
+    monkeypatch.undo()
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        many = {r.doc_id: r.score for r in suffix_tree_lm.score(docs.coalesce(1)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert all(many[i] == pytest.approx(x, rel=1e-9) for i, x in few)
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 1000):
+        a, b = rng.integers(-(2**62), 2**62, n), rng.random(n)
+        x, y = suffix_tree_lm.unpack(suffix_tree_lm.pack(a, b.view(np.int64)), n) or (a, b.view(np.int64))
+        assert (x == a).all() and (y.view(float) == b).all()
 
 
 # --- 4 ----------------------------------------------------------------------------------------------

@@ -1,21 +1,28 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-A text is its lower-cased words (A-Z only) and one end. Words that make up LEAST of all training tokens
-are symbols of their own (at most 1 / LEAST of them, whatever the corpus), the others share one symbol,
-and the end is one. A context is what stands before a symbol, back to the end of the text before, up to
-DEPTH symbols. Level by level, contexts are candidates if they make up LEAST of all training symbols,
-and are retained if the likelihood that their next-symbol counts gain over the next shorter context
-is at least GAIN for every different symbol seen (a divergence test). Counts are smoothed with the
-distribution of the shorter context, weighted by the number of different symbols; a symbol is scored at
-the longest retained suffix. A word without a symbol of its own has its share of the common symbol: its
-count less a discount, and all unseen words together what the discount leaves (they are one class here,
-as in the base score). The discount comes from the numbers of words seen once and twice. So the
-probabilities of what may follow sum to one over the training words, the end and the unseen.
-
-All counts are exact and of all training documents. Documents are dealt to blocks; a block sends its
-distinct words with their counts to buckets by hash, where they are summed, and gets the sums back for
-its words. Neither words nor counts ever come together in one place; only the tree, bounded as said,
-does. Words are told apart by 64-bit hashes.
+A text is its lower-cased words (A-Z only) and one end; what is before its first word is an end too.
+Every training word is a symbol. A context is the symbols before a symbol, up to DEPTH of them and not
+beyond the text. A context s is a state if, over the symbols w that came after it at least twice, its
+own estimate (c - 1) / n diverges from that of the next shorter context s':
+
+    sum of c ln(((c - 1) / n) / (c' / n')) + (n - sum of c) ln(1 - sum of (c - 1) / n)  >=  GAIN for each such w
+
+where c and n are the counts of s w and s, and c', n' those of s' w and s' (for a shortest s: of w, and
+of all tokens). One is taken off every count, so that what was seen once proves nothing (leaving one
+out). A symbol's probability is smoothed along the states that are suffixes of what is before it,
+shortest first: P = (c - 1) / n + (1 - sum of (c - 1) / n) P', beginning with the base's (c + 1) / (N +
+V + 1), in which all unseen words are one class. Each distribution sums to one. There is no cap on
+states and no share that a symbol or context must have: the tree grows with the corpus.
+
+Counts are exact and of all training documents. Only sequences of words that come twice matter, and
+those of n + 1 words only where both sequences of n come twice, so that the levels are counted one
+after another. The documents are coded once, in slices of some megabytes; a slice sends each distinct
+sequence once, as sorted hashes packed in bytes, to the bucket of its upper bits, and gets the total
+counts back in the same order. Of each sequence one slice is the owner and adds its terms of the
+divergence to the context's bucket, which answers whether the context is a state. The tree is a table
+that is dealt by the hashes of its contexts; nothing of it comes to the driver, which has three sums.
+A hot word, line or copied text is one entry a slice. Words and sequences are told apart by 64 bits
+(BLAKE2b of words, joined).
 
 Null and empty texts have the end alone. A table without training rows gives N = 0 and scores of 0 for
 words, which are all unseen. Rows with null doc_id are training rows. Repeated rows count each time.
@@ -24,264 +31,336 @@ Other columns of the input do not go to the output.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.llm import common as c
 
-DEPTH, LEAST, GAIN = 4, 3e-4, 2.0
-_ROWS = "bucket int, block int, a binary, b binary"
-
-
-# --- the tree ---------------------------------------------------------------------------------
-
-
-@dataclass
-class Tree:
-    """step[d][state * size + symbol]: the state of depth d + 1 whose context has the symbol before that of the state."""
-
-    words: np.ndarray  # hashes of the words with symbols of their own, sorted
-    size: int  # symbols: these words, all others, the end
-    step: list[np.ndarray] = field(default_factory=list)
-    logp: list[np.ndarray] = field(default_factory=list)  # log10 P by state * size + symbol, at each depth
-
-    @property
-    def end(self) -> int:
-        return self.size - 1
-
-    @property
-    def other(self) -> int:
-        return self.size - 2
-
-    def symbols_of(self, h: np.ndarray) -> np.ndarray:
-        """The symbol of each word by its hash."""
-        if not len(self.words):
-            return np.full(len(h), self.other)
-        at = np.searchsorted(self.words, h)
-        return np.where(self.words[np.minimum(at, len(self.words) - 1)] == h, at, self.other)
-
-
-def spelled(tree: Tree, off: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, place in the text, text): an end, the words' symbols and an end of each text, one after another."""
-    n = np.diff(off)
-    text = np.repeat(np.arange(len(n)), n + 2)
-    begin = off[:-1] + 2 * np.arange(len(n))
-    place = np.arange(len(text)) - begin[text]
-    out = np.full(len(text), tree.end)
-    out[(place > 0) & (place <= n[text])] = symbols
-    return out, place, text
-
-
-def states(tree: Tree, symbols: np.ndarray, place: np.ndarray, depth: int):
-    """At each depth up to `depth`: the places that have a state, and their states."""
-    at = np.flatnonzero(place > 0)
-    state = np.zeros(len(at), np.int64)
-    yield at, state
-    for d in range(depth):
-        inside = place[at] > d
-        at, state = at[inside], state[inside]
-        state = tree.step[d][state * tree.size + symbols[at - d - 1]].astype(np.int64)
-        there = state >= 0
-        at, state = at[there], state[there]
-        yield at, state
-
-
-def symbol_scores(tree: Tree, off: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each text's symbols, with its end."""
-    symbols, place, text = spelled(tree, off, symbols)
-    p = np.zeros(len(symbols))
-    for (at, state), logp in zip(states(tree, symbols, place, len(tree.step)), tree.logp, strict=True):
-        p[at] = logp[state * tree.size + symbols[at]]
-    return np.bincount(text, p, len(off) - 1)
-
-
-def count_next(tree: Tree, off: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(state * size + symbol, count) at the deepest level."""
-    symbols, place, _ = spelled(tree, off, symbols)
-    for at, state in states(tree, symbols, place, len(tree.step)):
-        last = state * tree.size + symbols[at]
-    return np.unique(last, return_counts=True)
-
-
-def grow(tree: Tree, count, depth: int = DEPTH, least: float = LEAST, gain: float = GAIN) -> Tree:
-    """Levels of the tree; count(tree) gives the counts of its deepest level as an array of states by symbols."""
-    s = tree.size
-    root = count(tree)
-    total = max(root.sum(), 1)
-    p = (root + 0.5) / (root.sum() + 0.5 * s)
-    tree.logp.append(np.log10(p).ravel())
-    alive = np.flatnonzero(root[0] >= max(1, least * total))
-    step = np.full(s, -1, np.int32)
-    step[alive] = np.arange(len(alive))
-    right = step.copy()  # [state of the depth before * s + last symbol] -> state
-    first, suffix = alive, np.zeros(len(alive), np.int64)
-    shorter = p
-    for d in range(1, depth + 1):
-        if not len(first):
-            break
-        tree.step.append(step)
-        counts = count(tree)
-        n, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        before = shorter[suffix]
-        own = (counts + kinds * before) / np.maximum(n + kinds, 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            won = np.where(counts > 0, counts * np.log(own / before), 0).sum(1, keepdims=True)
-        p = np.where((won >= gain * kinds) & (n > 0), own, before)
-        tree.logp.append(np.log10(p).ravel())
-        # contexts of the next depth: a state's context with a next symbol that is often enough there
-        q, sym = np.nonzero(counts >= max(1, least * total))
-        ok = sym < tree.end
-        q, sym = q[ok], sym[ok]
-        tail = right[suffix[q] * s + sym].astype(np.int64)
-        ok = tail >= 0
-        q, sym, tail = q[ok], sym[ok], tail[ok]
-        step = np.full(len(counts) * s, -1, np.int32)
-        step[tail * s + first[q]] = np.arange(len(q))
-        new_right = np.full(len(counts) * s, -1, np.int32)
-        new_right[q * s + sym] = np.arange(len(q))
-        right, first, suffix, shorter = new_right, first[q], tail, p
-    tree.logp = [x.astype(np.float32) for x in tree.logp]
-    return tree
-
-
-# --- counts -----------------------------------------------------------------------------------
-
-
-def _blob_rows(block: int | None, bucket: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
-    full = np.unique(bucket)
-    lo, hi = np.searchsorted(bucket, full), np.searchsorted(bucket, full, side="right")
-    cols = [c.blobs([x[p:q].tobytes() for p, q in zip(lo, hi, strict=True)]) for x in (a, b)]
-    return pa.table([pa.array(full.astype(np.int32)), pa.array([block] * len(full), pa.int32()), *cols], names=["bucket", "block", "a", "b"])
+DEPTH, GAIN = 3, 2.0
+#: Bytes of text in a slice, and for which there is a bucket.
+SLICE_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+#: The hash of an end.
+END = c.seeds(1, 77)[0]
+_CODED = "slice long, n int, ids binary, known binary, train binary, codes binary, words binary"
+_ROWS = "bucket int, slice long, kind int, a binary, b binary"
+#: A message about sequences of n words has kind n, one about contexts of d words kind STATES + d.
+STATES = 100
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+# --- bytes ------------------------------------------------------------------------------------
+
 
+def pack(*columns: np.ndarray) -> bytes:
+    """64-bit numbers by planes of bytes, which compress where numbers are small."""
+    return b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), 8).T.tobytes() for x in columns)
 
-def _parts(block: pa.Table):
-    for batch in block.combine_chunks().to_batches():
-        yield from c.slices(batch, "_text")
 
+def unpack(data: bytes, n: int, dtype: type = np.int64) -> list[np.ndarray]:
+    """The columns of n numbers each."""
+    k = len(data) // (8 * n) if n else 0
+    planes = np.frombuffer(data, np.uint8).reshape(k, 8, n)
+    return [np.ascontiguousarray(planes[i].T).reshape(-1).view(dtype) for i in range(k)]
 
-def _send(buckets: int):
-    def run(block: pa.Table) -> pa.Table:
-        hashes, counts = [], []
-        for part in _parts(block):
-            w = c.split_words(c.texts_of(part.column("_text"), lower=True))
-            own = np.asarray(part.column("_train"))[w.doc()]
-            hashes.append(c.hash_strings(w.dictionary))
-            counts.append(np.bincount(w.codes, own, len(w.dictionary)).astype(np.int64))
-        h, back = np.unique(np.concatenate(hashes), return_inverse=True)
-        n = np.bincount(back, np.concatenate(counts), len(h)).astype(np.int64)
-        return _blob_rows(block.column("_block")[0].as_py(), _bucket(h, buckets), h, n)
 
-    return run
+def _steps(h: np.ndarray) -> np.ndarray:
+    """Rising hashes as differences."""
+    return np.diff(h, prepend=np.uint64(0))
 
 
-def _sum(t: pa.Table) -> pa.Table:
-    """Each block's words with their sums (a), in the order in which it sent them; with the first row also all sums (b: hashes and counts)."""
-    size = [len(x) // 8 for x in t.column("a").to_pylist()]
-    h, n = (np.frombuffer(b"".join(t.column(x).to_pylist()), kind) for x, kind in (("a", np.uint64), ("b", np.int64)))
-    distinct, back = np.unique(h, return_inverse=True)
-    total = np.bincount(back, n, len(distinct)).astype(np.int64)
-    answer, cut = total[back], np.concatenate([[0], np.cumsum(size)])
-    all_ = np.concatenate([distinct[total > 0].view(np.int64), total[total > 0]]).tobytes()
-    return pa.table([t.column("bucket"), t.column("block"), c.blobs([answer[p:q].tobytes() for p, q in zip(cut[:-1], cut[1:], strict=True)]), c.blobs([all_, *[None] * (len(size) - 1)])], names=["bucket", "block", "a", "b"])
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values rising, the place of each value among them, a place where each occurs)."""
+    order = np.argsort(h)
+    near = h[order]
+    new = np.concatenate([[True], near[1:] != near[:-1]]) if len(h) else np.zeros(0, bool)
+    back = np.empty(len(h), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return near[new], back, order[new]
 
 
-def train(rows: DataFrame, words: np.ndarray, depth: int = DEPTH, least: float = LEAST) -> Tree:
-    """The tree of the training rows(_text, _train); words: the hashes that have symbols of their own."""
-    def count(tree: Tree) -> np.ndarray:
-        n_states, wide = (int(tree.step[-1].max()) + 1 if tree.step else 1), tree.size
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of the upper bits: rises with the hash."""
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
 
-        def run(batches):
-            keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for batch in batches:
-                batch = batch.filter(batch.column("_train"))
-                for part in c.slices(batch, "_text") if len(batch) else ():
-                    w = c.split_words(c.texts_of(part.column("_text"), lower=True))
-                    key, n = count_next(tree, w.off, tree.symbols_of(c.hash_strings(w.dictionary))[w.codes])
-                    keys, back = np.unique(np.concatenate([keys, key]), return_inverse=True)
-                    counts = np.bincount(back, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-            for a in range(0, len(keys), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + (1 << 17)]), pa.array(counts[a : a + (1 << 17)])], names=["key", "n"])
+def _messages(where: int, kind: int, buckets: int, h: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    """A row for each bucket with its part of the rising hashes (a) and of what goes with them (b)."""
+    at = _bucket(h, buckets)
+    full = np.unique(at)
+    cuts = list(zip(np.searchsorted(at, full), np.searchsorted(at, full, side="right"), strict=True))
+    a, b = [pack(_steps(h[p:q])) for p, q in cuts], [pack(*(x[p:q] for x in columns)) for p, q in cuts]
+    ints = [pa.array(full.astype(np.int32)), pa.array([where] * len(full), pa.int64()), pa.array([kind] * len(full), pa.int32())]
+    return pa.table([*ints, c.blobs(a), c.blobs(b)], names=["bucket", "slice", "kind", "a", "b"])
 
-        # at most the states of a level by the symbols
-        got = rows.select("_text", "_train").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-        out = np.zeros(n_states * wide)
-        out[np.asarray(got["key"]).astype(np.int64)] = np.asarray(got["n"])
-        return out.reshape(n_states, wide)
 
-    return grow(Tree(words, len(words) + 2), count, depth, least)
+# --- slices -----------------------------------------------------------------------------------
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 7, remainder: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document.
+def code(docs: DataFrame, doc_id: str, text: str, modulus: int, remainder: int) -> DataFrame:
+    """A row for each slice: doc_ids, which are known, which train, words by their places among the distinct hashes (0: an end)."""
+    held = F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == remainder, F.lit(False))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), (~held).alias("train"), F.col(text).alias("text"), F.spark_partition_id().alias("part"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Small parts of a task's rows put together."""
+        kept, size = [], 0
+        for batch in batches:
+            for part in c.slices(batch, "text", SLICE_BYTES):
+                n = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+                if kept and size + n > SLICE_BYTES:
+                    yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+                    kept, size = [], 0
+                kept.append(part)
+                size += n
+        if kept:
+            yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, part in enumerate(whole(batches)):
+            w = c.split_words(c.texts_of(part.column("text"), lower=True))
+            own, _, place = _distinct(c.hash_strings(w.dictionary))
+            rank = np.empty(len(w.dictionary), np.int64)
+            rank[place] = np.arange(1, len(place) + 1)
+            n = np.diff(w.off)
+            codes = np.zeros(len(w.codes) + len(n), np.uint32)  # words of a text, then an end
+            if len(w.codes):
+                codes[np.arange(len(w.codes)) + w.doc()] = rank[w.codes]
+            ids = part.column("id")
+            known, train = np.asarray(ids.is_valid()).astype(np.uint8), np.asarray(part.column("train")).astype(np.uint8)
+            blobs = [np.asarray(pc.fill_null(ids, 0)).astype(np.int64).tobytes(), known.tobytes(), train.tobytes(), codes.view(np.uint8).reshape(-1, 4).T.tobytes(), pack(_steps(own))]
+            where = (part.column("part")[0].as_py() << 32) + k
+            yield pa.RecordBatch.from_arrays([pa.array([where], pa.int64()), pa.array([len(n)], pa.int32()), *(c.blobs([x]) for x in blobs)], names=[x.split()[0] for x in _CODED.split(", ")])
+
+    return rows.mapInArrow(run, _CODED)
+
+
+class Slice:
+    """The texts of a slice as symbols: an end, the words and an end of each, and the counts that are known of them."""
+
+    def __init__(self, row: dict, told: list[dict], ends: int):
+        self.where, n = row["slice"], row["n"]
+        self.ids, self.known = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], np.uint8).astype(bool)
+        self.train = np.frombuffer(row["train"], np.uint8).astype(bool)
+        codes = np.ascontiguousarray(np.frombuffer(row["codes"], np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32).astype(np.int64)
+        steps = unpack(row["words"], len(row["words"]) // 8, np.uint64)
+        self.words = np.cumsum(steps[0], dtype=np.uint64) if steps else np.zeros(0, np.uint64)
+        after = np.flatnonzero(codes == 0)  # the last symbol of each text
+        self.n_tokens = np.diff(np.concatenate([[-1], after]))
+        self.doc = np.repeat(np.arange(n), self.n_tokens + 1)
+        first = np.concatenate([[0], np.cumsum(self.n_tokens + 1)])[:-1]
+        self.place = np.arange(len(self.doc)) - first[self.doc]
+        self.codes = np.zeros(len(self.doc), np.int64)
+        self.codes[self.place > 0] = codes
+        self.told: dict[int, list[dict]] = {}
+        for x in sorted(told, key=lambda x: x["bucket"]):
+            self.told.setdefault(x["kind"], []).append(x)
+        self.ends = ends
+        self.h = np.concatenate([[END], self.words])[self.codes]
+        self.levels: dict[int, tuple] = {}
+
+    def answer(self, kind: int, n: int) -> list[np.ndarray]:
+        """The columns that the buckets gave back for the n hashes that were sent."""
+        parts = [unpack(x["a"], len(x["a"]) // 8 // max(1, x["b"][0])) for x in self.told.get(kind, [])]
+        out = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else []
+        if any(len(x) != n for x in out) or (n and not out):
+            raise ValueError(f"{n} hashes sent, {[len(x) for x in out]} answers of kind {kind}")
+        return out
+
+    def word_counts(self) -> np.ndarray:
+        """The training count of each code; of the end, that of training texts."""
+        got = self.answer(1, len(self.words))
+        return np.concatenate([[self.ends], got[0] if got else np.zeros(0, np.int64)])
+
+    def counts(self, n: int) -> np.ndarray:
+        """At each place the count of the n symbols that end there; 0 for one that comes once, but for n = 1."""
+        if n == 1:
+            return self.word_counts()[self.codes]
+        return self.level(n)[3]
+
+    def candidates(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where n symbols end whose first and last n - 1 come twice: (places, distinct hashes, place among them, a place of each)."""
+        before = self.counts(n - 1)
+        at = np.flatnonzero((self.place >= n - 1) & (before >= 2))
+        at = at[before[at - 1] >= 2]
+        h = c.rolling(self.h, n)[at - n + 1] if len(at) else np.zeros(0, np.uint64)
+        own, back, first = _distinct(h)
+        return at, own, back, at[first]
+
+    def level(self, n: int) -> tuple:
+        """(places, place among the distinct, a place of each distinct, counts at each place, whether this slice owns the distinct)."""
+        if n not in self.levels:
+            at, own, back, first = self.candidates(n)
+            got = self.answer(n, len(own)) or [np.zeros(0, np.int64)] * 2
+            counts = np.zeros(len(self.codes), np.int64)
+            counts[at] = got[0][back]
+            self.levels[n] = (at, back, first, counts, got[1].astype(bool))
+        return self.levels[n]
+
+    def sequences(self, n: int, buckets: int) -> pa.Table:
+        """What is to be counted: the distinct sequences of n symbols with how often they are in training texts here."""
+        if n == 1:
+            own = np.bincount(self.codes, self.train[self.doc], len(self.words) + 1)[1:].astype(np.int64)
+            return _messages(self.where, n, buckets, self.words, own)
+        at, own, back, _ = self.candidates(n)
+        return _messages(self.where, n, buckets, own, np.bincount(back, self.train[self.doc[at]], len(own)).astype(np.int64))
+
+    def contexts(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of symbols whose d symbols before come twice, distinct hashes of these, place among them)."""
+        at = np.flatnonzero((self.place >= d) & (np.concatenate([[0], self.counts(d)[:-1]]) >= 2))
+        own, back, _ = _distinct(c.rolling(self.h, d)[at - d] if len(at) else np.zeros(0, np.uint64))
+        return at, own, back
+
+    def divergences(self, d: int, total: int, buckets: int) -> pa.Table:
+        """The contexts of d symbols, their counts, and the terms of the sequences that this slice owns."""
+        at, own, back = self.contexts(d)
+        slot = np.full(len(self.codes), -1)
+        slot[at] = back
+        n = np.zeros(len(own), np.int64)
+        n[back] = self.counts(d)[at - 1]
+        _, _, first, counts, mine = self.level(d + 1)
+        first = first[mine]
+        first = first[counts[first] >= 2]
+        k, count = slot[first], counts[first]
+        below = self.counts(d)[first] / (self.counts(d - 1)[first - 1] if d > 1 else total)
+        gain = count * np.log((count - 1) / self.counts(d)[first - 1] / below)
+        sums = [np.bincount(k, x, len(own)).astype(np.int64) for x in (count - 1, count, np.ones(len(k)))]
+        return _messages(self.where, STATES + d, buckets, own, n, *sums, np.bincount(k, gain, len(own)).view(np.int64))
+
+    def scores(self, depth: int, total: int, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log10 of the base and of the tree at each place, how many symbols the state there has)."""
+        seen = self.counts(1)
+        base = (seen + 1) / (total + kinds + 1)
+        p, used = base.copy(), np.zeros(len(base), np.int64)
+        for d in range(1, depth + 1):
+            at, own, back = self.contexts(d)
+            got = self.answer(STATES + d, len(own))
+            if not got:
+                break
+            taken = got[0][back]  # sum of (c - 1); 0 where the context is no state
+            some = taken > 0
+            at, taken = at[some], taken[some]
+            n = self.counts(d)[at - 1]
+            p[at] = np.maximum(self.level(d + 1)[3][at] - 1, 0) / n + (1 - taken / n) * p[at]
+            used[at] = d
+        return np.log10(base), np.log10(p), used
+
+
+# --- buckets ----------------------------------------------------------------------------------
+
+
+def _gather(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(slice of each entry as its number, hashes, columns) of rows."""
+    n = [len(x["a"]) // 8 for x in rows]
+    h = np.concatenate([np.cumsum(unpack(x["a"], k, np.uint64)[0], dtype=np.uint64) for x, k in zip(rows, n, strict=True)])
+    columns = [np.concatenate(y) for y in zip(*(unpack(x["b"], k) for x, k in zip(rows, n, strict=True)), strict=True)]
+    return np.repeat(np.arange(len(rows)), n), h, columns
+
+
+def _told(rows: list[dict], own: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    """The columns given back to each row's slice."""
+    cuts = np.searchsorted(own, np.arange(len(rows) + 1))
+    out = [pack(*(x[p:q] for x in columns)) for p, q in zip(cuts[:-1], cuts[1:], strict=True)]
+    ints = [pa.array([x[k] for x in rows], t) for k, t in (("bucket", pa.int32()), ("slice", pa.int64()), ("kind", pa.int32()))]
+    return pa.table([*ints, c.blobs(out), c.blobs([bytes([len(columns)])] * len(rows))], names=["bucket", "slice", "kind", "a", "b"])
+
+
+def _answer(t: pa.Table) -> pa.Table:
+    """Total counts of sequences, and who owns them; of contexts the sum of their counts less one, if they are states."""
+    out = []
+    by: dict[int, list[dict]] = {}
+    for x in t.to_pylist():
+        by.setdefault(x["kind"], []).append(x)
+    for kind, rows in sorted(by.items()):
+        rows.sort(key=lambda x: x["slice"])
+        own, h, columns = _gather(rows)
+        distinct, back, _ = _distinct(h)
+        if kind < STATES:
+            total = np.bincount(back, columns[0], len(distinct)).astype(np.int64)
+            if kind == 1:
+                out.append(_told(rows, own, total[back]))
+                known = total[total > 0]
+                sums = pack(np.array([known.sum(), len(known)]))
+                out.append(pa.table([[-1], [-1], [0], [sums], [b"\2"]], names=out[-1].column_names).cast(out[-1].schema))
+                continue
+            total[total < 2] = 0
+            least = np.full(len(distinct), len(rows))
+            np.minimum.at(least, back, own)
+            out.append(_told(rows, own, total[back], (least[back] == own).astype(np.int64)))
+            continue
+        n = np.zeros(len(distinct), np.int64)
+        n[back] = columns[0]
+        less, some, kinds = (np.bincount(back, x, len(distinct)) for x in columns[1:4])
+        gain = np.bincount(back, columns[4].view(np.float64), len(distinct)) + (n - some) * np.log1p(-less / n)
+        out.append(_told(rows, own, np.where((kinds > 0) & (gain >= GAIN * kinds), less, 0).astype(np.int64)[back]))
+    return pa.concat_tables(out)
+
+
+# --- the operator -----------------------------------------------------------------------------
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 7, remainder: int = 2, depth: int = DEPTH) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_context (tokens scored in a state) of each document.
 
     Documents whose CRC-32 of the doc_id as text has the remainder are held out, the others train.
     """
-    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    held = F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == remainder, F.lit(False))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"), (~held).alias("_train"), F.pmod(F.xxhash64(doc_id, text), F.lit(buckets)).cast("int").alias("_block"))
-    by = rows.groupBy("_block")
-    told = c.materialize(by.applyInArrow(_send(buckets), _ROWS).groupBy("bucket").applyInArrow(_sum, _ROWS))
-    ends = docs.select(held.alias("h")).where("not h").count()
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(n, -(-c.text_bytes(docs, text) // BUCKET_BYTES))
+    coded = c.materialize(code(docs, doc_id, text, modulus, remainder), "zstd")
+    answers: list[DataFrame] = []
 
-    def sums(batches):
-        for b in batches:
-            for x in b.column("b").to_pylist():
-                if x is not None:
-                    n = np.split(np.frombuffer(x, np.int64), 2)[1]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(f(n))], pa.int64()) for f in (np.sum, len, lambda n: (n == 1).sum(), lambda n: (n == 2).sum())], names=["n", "v", "once", "twice"])
+    def ask(make, ends: int = 0) -> DataFrame:
+        """The buckets' answers to what make(slice) sends, written."""
+        def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+            got = told.to_pylist()
+            return pa.concat_tables([make(Slice(x, got, ends)) for x in rows.to_pylist()] or [_messages(0, 0, 1, np.zeros(0, np.uint64))])
 
-    s = told.select("b").mapInArrow(sums, "n long, v long, once long, twice long").agg(*(F.sum(x) for x in ("n", "v", "once", "twice"))).first()
-    n_words, n_kinds, once, twice = (x or 0 for x in s)
-    n_all, distinct = n_words + ends, n_kinds + (ends > 0)
-    floor = max(1, LEAST * n_all)
+        told = coded.groupBy("slice").cogroup(_union(answers, coded).groupBy("slice")).applyInArrow(run, _ROWS)
+        return c.materialize(told.groupBy("bucket").applyInArrow(_answer, _ROWS), "zstd")
+
+    words = ask(lambda s: s.sequences(1, buckets))
+    answers.append(words.where("slice >= 0"))
+
+    def ends_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(x) for x in b.column("train").to_pylist()], pa.int64())], names=["n"])
 
-    def frequent(batches):
+    def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in b.column("b").to_pylist():
-                if x is not None:
-                    h, n = np.split(np.frombuffer(x, np.int64), 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[n >= floor]), pa.array(n[n >= floor])], names=["h", "n"])
-
-    own = told.select("b").mapInArrow(frequent, "h long, n long").toArrow()  # at most 1 / LEAST
-    own_h, own_n = np.asarray(own["h"]).astype(np.int64).view(np.uint64), np.asarray(own["n"])
-    tree = train(rows, np.sort(own_h))
-    # the words without a symbol of their own share one: each its count less the discount, the unseen the rest
-    discount = min(0.95, max(0.05, once / max(once + 2 * twice, 1)))
-    rare, kinds = n_words - int(own_n.sum()), n_kinds - len(own_h)
-    unseen = discount * kinds / rare if rare else 1.0
-    base_end = float(np.log10((ends + 1) / (n_all + distinct + 1)))
-
-    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        parts, hashes = [], [np.zeros(0, np.uint64)]
-        for part in _parts(block):
-            w = c.split_words(c.texts_of(part.column("_text"), lower=True))
-            parts.append((part, w))
-            hashes.append(c.hash_strings(w.dictionary))
-        every = np.unique(np.concatenate(hashes))
-        order = np.argsort(np.asarray(answers.column("bucket")), kind="stable")
-        blobs = answers.column("a").to_pylist()
-        count = np.frombuffer(b"".join([blobs[i] for i in order]), np.int64)
-        if len(count) != len(every):
-            raise ValueError(f"{len(every)} words sent, {len(count)} counts received")
-        out = []
-        for (part, w), h in zip(parts, hashes[1:], strict=True):
-            n = count[np.searchsorted(every, h)]
-            base = np.log10((n + 1) / (n_all + distinct + 1))
-            symbol = tree.symbols_of(h)
-            share = np.log10(np.where(n > 0, np.maximum(n - discount, 1e-9) / max(rare, 1), unseen))
-            own = np.where(symbol == tree.other, share, 0)
-            add = lambda x, w=w: np.bincount(w.doc(), x[w.codes], len(w.off) - 1) if len(w.codes) else np.zeros(len(w.off) - 1)
-            k = len(part)
-            out.append(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(~np.asarray(part.column("_train"))), pa.array(np.diff(w.off) + 1), pa.array(add(n > 0).astype(np.int64) + (ends > 0)), pa.array(np.full(k, n_all, np.int64)), pa.array(add(base) + base_end), pa.array(add(own) + symbol_scores(tree, w.off, symbol[w.codes]))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
-        return pa.Table.from_batches(out)
-
-    answers = told.select("block", "bucket", "a")
-    return by.cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            two = [unpack(x, 2)[0] for x in b.column("a").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in two], pa.int64()) for i in range(2)], names=["n", "v"])
+
+    ends = coded.select("train").mapInArrow(ends_of, "n long").agg(F.sum("n")).first()[0] or 0
+    n_words, n_kinds = (x or 0 for x in words.where("slice < 0").select("a").mapInArrow(sums_of, "n long, v long").agg(F.sum("n"), F.sum("v")).first())
+    total, kinds = n_words + ends, n_kinds + (ends > 0)
+    for level in range(2, depth + 3):
+        # sequences of `level` symbols, and the divergence of contexts whose sequences are counted
+        jobs = [lambda s, k=level: s.sequences(k, buckets)] if level <= depth + 1 else []
+        jobs += [lambda s, k=level - 2: s.divergences(k, total, buckets)] if level > 2 else []
+        answers.append(ask(lambda s, jobs=tuple(jobs): pa.concat_tables([j(s) for j in jobs]), ends))
+    base_end = float(np.log10((ends + 1) / (total + kinds + 1)))
+
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        out, got = [], told.to_pylist()
+        for x in rows.to_pylist():
+            s = Slice(x, got, ends)
+            base, p, used = s.scores(depth, total, kinds)
+            inner = s.place > 0
+            sums = [np.bincount(s.doc[inner], y[inner], len(s.ids)) for y in (s.counts(1) > 0, base, p, used > 0)]
+            columns = [pa.array(s.ids, mask=~s.known), pa.array(~s.train), pa.array(s.n_tokens.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(s.ids), total, np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.array(sums[3].astype(np.int64))]
+            out.append(pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_context"]))
+        return pa.concat_tables(out)
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_context long"
+    return coded.groupBy("slice").cogroup(_union(answers, coded).groupBy("slice")).applyInArrow(run, schema)
+
+
+def _union(answers: list[DataFrame], coded: DataFrame) -> DataFrame:
+    """The answers of all levels so far."""
+    out = coded.sparkSession.createDataFrame([], _ROWS) if not answers else answers[0]
+    for x in answers[1:]:
+        out = out.unionByName(x)
+    return out
