@@ -15,7 +15,7 @@ pairs as members. Links so found are contracted to components. What is left are
 several components; their sets are compared in full, in blocks of bounded size, so that no link
 between different components is missed, and no pairs of sets are ever written but links.
 
-Shingles are 64 bits of the joined BLAKE2b digests of their words; classes are told apart by 128.
+Shingles are 64 bits of the joined XXH3 digests of their words; classes are told apart by 128.
 
 Null and empty texts, and texts without words, have the empty set and are linked with nothing.
 Repeated rows are members of one class. Rows that share a doc_id but not a text are rows of their own:

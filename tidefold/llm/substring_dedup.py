@@ -294,10 +294,10 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     copies = c.materialize(copies_of(blocks).mapInArrow(_pack_ids, _COLUMNS))
     by = blocks.groupBy("_block")
     told = lambda *more: _union(copies, *more).groupBy("block")
-    shared = by.cogroup(told()).applyInArrow(_send_anchors(n), _COLUMNS).groupBy("bucket").applyInArrow(_shared_anchors, _COLUMNS)
-    late = by.cogroup(told(shared)).applyInArrow(_send_windows(n), _COLUMNS).groupBy("bucket").applyInArrow(_earlier_windows, _COLUMNS)
+    shared = by.cogroup(told()).applyInArrow(c.tidy(_send_anchors(n)), _COLUMNS).groupBy("bucket").applyInArrow(c.tidy(_shared_anchors), _COLUMNS)
+    late = by.cogroup(told(shared)).applyInArrow(c.tidy(_send_windows(n)), _COLUMNS).groupBy("bucket").applyInArrow(c.tidy(_earlier_windows), _COLUMNS)
     fields = [*docs.select(*kept).schema, c.field("n_words", "long"), c.field("n_removed", "long"), c.field("kept_text", "string")]
-    return by.cogroup(told(late)).applyInArrow(_remove(kept, text), T.StructType(fields))
+    return by.cogroup(told(late)).applyInArrow(c.tidy(_remove(kept, text)), T.StructType(fields))
 
 
 def _union(first: DataFrame, *more: DataFrame) -> DataFrame:

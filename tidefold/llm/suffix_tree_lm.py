@@ -22,7 +22,7 @@ counts back in the same order. Of each sequence one slice is the owner and adds
 divergence to the context's bucket, which answers whether the context is a state. The tree is a table
 that is dealt by the hashes of its contexts; nothing of it comes to the driver, which has three sums.
 A hot word, line or copied text is one entry a slice. Words and sequences are told apart by 64 bits
-(BLAKE2b of words, joined).
+(XXH3 of words, joined).
 
 Null and empty texts have the end alone. A table without training rows gives N = 0 and scores of 0 for
 words, which are all unseen. Rows with null doc_id are training rows. Repeated rows count each time.
@@ -43,7 +43,7 @@ from tidefold.llm import common as c
 
 DEPTH, GAIN = 3, 2.0
 #: Bytes of text in a slice, and for which there is a bucket.
-SLICE_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+SLICE_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 #: The hash of an end.
 END = c.seeds(1, 77)[0]
 _CODED = "slice long, n int, ids binary, known binary, train binary, codes binary, words binary"
@@ -318,8 +318,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus:
             got = told.to_pylist()
             return pa.concat_tables([make(Slice(x, got, ends)) for x in rows.to_pylist()] or [_messages(0, 0, 1, np.zeros(0, np.uint64))])
 
-        told = coded.groupBy("slice").cogroup(_union(answers, coded).groupBy("slice")).applyInArrow(run, _ROWS)
-        return c.materialize(told.groupBy("bucket").applyInArrow(_answer, _ROWS), "zstd")
+        told = coded.groupBy("slice").cogroup(_union(answers, coded).groupBy("slice")).applyInArrow(c.tidy(run), _ROWS)
+        return c.materialize(told.groupBy("bucket").applyInArrow(c.tidy(_answer), _ROWS), "zstd")
 
     words = ask(lambda s: s.sequences(1, buckets))
     answers.append(words.where("slice >= 0"))
@@ -355,7 +355,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus:
         return pa.concat_tables(out)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_context long"
-    return coded.groupBy("slice").cogroup(_union(answers, coded).groupBy("slice")).applyInArrow(run, schema)
+    return coded.groupBy("slice").cogroup(_union(answers, coded).groupBy("slice")).applyInArrow(c.tidy(run), schema)
 
 
 def _union(answers: list[DataFrame], coded: DataFrame) -> DataFrame:
