@@ -19,12 +19,14 @@ table gives no rows. Other columns of the input do not go to the output.
 
 from __future__ import annotations
 
+import os
 import zlib
-from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,50 +39,72 @@ EXACT = 256
 #: Rows that are ranked in one group.
 GROUP = 128
 #: Words whose ids a worker keeps: the first it meets, which has the frequent ones among them.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 #: The linear program ends when it is proven to be so near its optimum, or after so many patterns.
-GAP, MAX_PATTERNS = 1e-3, 500
+GAP, MAX_PATTERNS = 1e-4, 2000
 
 
 # --- ids --------------------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {}
+class WordIds:
+    """The ids of words by themselves; no token of these vocabularies goes over white space.
 
+    The ids of the first KEPT_WORDS different words that a worker meets are kept, as arrays.
+    """
 
-def ids_of_words(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, ids) of each word by itself; no token of these vocabularies goes over white space."""
-    tokenizer, known = _tokenizer(path)
-    listed = words.to_pylist()
-    parts = [known.get(w) for w in listed]
-    new = [i for i, p in enumerate(parts) if p is None]
-    for a in range(0, len(new), 4096):
-        some = new[a : a + 4096]
-        for i, e in zip(some, tokenizer.encode_batch_fast([listed[i] for i in some], add_special_tokens=False), strict=True):
-            parts[i] = array("I", e.ids).tobytes()
-    for i in new[: max(0, KEPT_WORDS - len(known))]:
-        known[listed[i]] = parts[i]
-    off = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)])
-    return off, np.frombuffer(b"".join(parts), "=u4")
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.start, self.n, self.ids = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        n, ids = [], []
+        for a in range(0, len(words), 4096):
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(words.slice(a, 4096).to_pylist(), add_special_tokens=False)]
+            n.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids.append(np.fromiter(chain.from_iterable(lists), np.uint32, int(n[-1].sum())))
+        return np.concatenate([np.zeros(0, np.int64), *n]), np.concatenate([np.zeros(0, np.uint32), *ids])
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, number, pool): the ids of each different word are so many from its start in the pool."""
+        words = words.cast(pa.string())
+        at = pc.index_in(words, value_set=self.words)
+        known = np.asarray(at.is_valid())
+        where = np.asarray(at.fill_null(0)).astype(np.int64)
+        new = words.filter(pa.array(~known))
+        n_new, ids_new = self._encoded(new)
+        start, n = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        start[known], n[known] = self.start[where[known]], self.n[where[known]]
+        start_new = len(self.ids) + np.cumsum(n_new) - n_new
+        start[~known], n[~known] = start_new, n_new
+        pool = np.concatenate([self.ids, ids_new])
+        more = min(len(new), KEPT_WORDS - len(self.words))
+        if more > 0:
+            self.words = pa.concat_arrays([self.words, new.slice(0, more)])
+            self.start, self.n = np.concatenate([self.start, start_new[:more]]), np.concatenate([self.n, n_new[:more]])
+            self.ids = np.concatenate([self.ids, ids_new[: int(n_new[:more].sum())]])
+        return start, n, pool
+
+
+_word_ids = lru_cache(maxsize=1)(WordIds)
 
 
 def ids_of_texts(texts: pa.Array, path: str, end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, ids) of each text (null: empty), with the end id."""
     w = c.split_words(c.texts_of(texts))
-    off, ids = ids_of_words(w.dictionary, path)
-    n = np.diff(off)[w.codes] if len(w.codes) else np.zeros(0, np.int64)
+    start, each, pool = _word_ids(path).of(w.dictionary)
+    n = each[w.codes] if len(w.codes) else np.zeros(0, np.int64)
     total = np.concatenate([[0], np.cumsum(n)])
-    at = np.arange(total[-1]) - np.repeat(total[:-1], n) + np.repeat(off[w.codes], n)
     bounds = total[w.off]
     out = np.full(total[-1] + len(texts), end, "<u4")
-    out[np.arange(total[-1]) + np.repeat(np.arange(len(texts)), np.diff(bounds))] = ids[at]
+    # where the ids of each word go: behind the ends of the texts before
+    shift = np.repeat(np.arange(len(texts)), np.diff(w.off))
+    place = np.arange(total[-1])
+    from_ = place + np.repeat(start[w.codes] - total[:-1], n) if len(w.codes) else place
+    out[place + np.repeat(shift, n)] = pool[from_]
     return bounds + np.arange(len(bounds)), out
 
 
@@ -98,6 +122,7 @@ def cut(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
                 begin = off[:-1][doc] + start
                 crc = [zlib.crc32(ids[a : a + k]) for a, k in zip(begin.tolist(), length.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(n[doc])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            c.release()
 
     some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
     return some.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
@@ -112,40 +137,71 @@ def length_classes(capacity: int = CAPACITY) -> np.ndarray:
     return np.array(sorted({x for x in fine if x <= capacity} | {capacity}))
 
 
+#: Items of this length or less are priced one by one over all rooms, longer ones all at once over a stretch of rooms.
+SHORT = 256
+
+
 def best_pattern(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The pattern of most value: an unbounded knapsack over lengths."""
-    value, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    """The pattern of most value: an unbounded knapsack over lengths.
+
+    value[room] is the most that fits. A short item of length s is tried for all rooms of one remainder
+    modulo s in a row, as a running maximum; long items cannot follow each other within a stretch shorter
+    than the shortest of them, so that such a stretch is one step.
+    """
     useful = np.flatnonzero(price > 0)
     size, worth = lengths[useful], price[useful]
-    for room in range(1, capacity + 1):
-        n = np.searchsorted(size, room, side="right")
-        value[room], last[room] = value[room - 1], -1
-        if n:
-            got = value[room - size[:n]] + worth[:n]
-            k = int(got.argmax())
-            if got[k] > value[room]:
-                value[room], last[room] = got[k], useful[k]
+    value = np.zeros(capacity + 1)
+    for k in np.flatnonzero(size <= SHORT):
+        s, w = int(size[k]), worth[k]
+        rows = -(-(capacity + 1) // s)
+        table = np.full(rows * s, -np.inf)
+        table[: capacity + 1] = value
+        steps = np.arange(rows)[:, None] * w
+        value = (np.maximum.accumulate(table.reshape(rows, s) - steps, 0) + steps).ravel()[: capacity + 1]
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        s, w = size[long], worth[long][:, None]
+        for a in range(int(s[0]), capacity + 1, int(s[0])):
+            rooms = np.arange(a, min(a + int(s[0]), capacity + 1))
+            before = rooms - s[:, None]
+            got = np.where(before >= 0, value[np.maximum(before, 0)] + w, 0).max(0)
+            value[rooms] = np.maximum(value[rooms], got)
+            np.maximum.accumulate(value[a:], out=value[a:])
     out, room = np.zeros(len(lengths), np.int64), capacity
-    while room > 0:
-        if last[room] < 0:
-            room -= 1
-        else:
-            out[last[room]] += 1
-            room -= lengths[last[room]]
-    return float(value[capacity]), out
+    while len(size):  # the items that make up the value, back from the end
+        n = np.searchsorted(size, room, side="right")
+        got = value[room - size[:n]] + worth[:n]
+        k = int(got.argmax()) if n else 0
+        if not n or got[k] < value[room] - 1e-9:
+            smaller = np.searchsorted(value[: room + 1], value[room] - 1e-9)
+            if smaller >= room or value[room] <= 1e-9:
+                break
+            room = int(smaller)
+            continue
+        out[useful[k]] += 1
+        room -= int(size[k])
+    return float((out * price).sum()), out
 
 
 def first_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """A pattern for each class, and fractional uses that meet the demand.
 
-    The fullest pattern over what is left, long items first, is used until a class is used up, and so
-    on. Each pattern has an item of the class that it uses up and none of those used up before, so
-    that the patterns are a (triangular) basis.
+    A pattern takes of what is left the longest items that still fit, and is used until a class is used
+    up, and so on. Each pattern has an item of the class that it uses up and none of those used up before,
+    so that the patterns are a (triangular) basis.
     """
     k, left = len(lengths), demand.astype(float)
     patterns, uses, alive = np.zeros((k, k), np.int64), np.zeros(k), np.ones(k, bool)
     while alive.any():
-        _, new = best_pattern(lengths, np.where(alive, lengths * (1 + 0.05 * lengths / capacity), 0), capacity)
+        new, room, on = np.zeros(k, np.int64), capacity, np.flatnonzero(alive)
+        while True:
+            n = np.searchsorted(lengths[on], room, side="right")
+            if not n:
+                break
+            i = on[n - 1]
+            new[i] = room // lengths[i]
+            room -= int(new[i] * lengths[i])
+            on = on[: n - 1]
         here = np.flatnonzero(new)
         share = left[here] / new[here]
         out = int(here[share.argmin()])
