@@ -108,3 +108,87 @@ def test_projection_cases(spark):
     assert oplog.project(spark.createDataFrame([], OPS)).count() == 0
     left = oplog.cancel_pending(spark.createDataFrame(rows, OPS))
     assert {r.fileId for r in left.collect()} == {"f1", "f3"} and left.agg(F.count("*")).first()[0] == 4
+
+
+def test_hundred_leaves_fold_into_one(spark):
+    import hashlib
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    lines = [f"line {i}" for i in range(101)]
+    texts = ["\n".join(lines)] + ["\n".join(x + ("!" if i == k else "") for i, x in enumerate(lines)) for k in range(101)]
+    g = versions(spark, [("v", [], sha(texts[0]), "f")] + [(f"x{k:03d}", ["v"], sha(texts[k + 1]), "f") for k in range(101)])
+    contents = spark.createDataFrame([(sha(t), bytearray(t.encode())) for t in texts], "hash string, bytes binary")
+    pulled = spark.createDataFrame([(f"x{k:03d}",) for k in range(1, 101)], "versionId string")
+    files = spark.createDataFrame([("f", "x000"), ("other", "v")], "fileId string, head string")
+    heads, nodes, held = reconcile.fold_heads(files, g, contents, pulled, spark.createDataFrame([], "versionId string"))
+    made = {r.versionId: r.text for r in nodes.collect()}
+    now = {r.fileId: r.head for r in heads.collect()}
+    assert len(made) == 100 and made[now["f"]] == "\n".join(x + "!" for x in lines) and now["other"] == "v" and held.count() == 0
+
+
+def test_folding_against_brute_force(spark, data):
+    from tidefold.operators import textmerge
+    from tidefold.plans import fixtures
+
+    rows = fixtures.ops(spark, data)
+    g = graph.build(graph.from_ops(rows))
+    entries = oplog.project(fixtures.plain(rows)).where("not deleted")
+    # texts that differ in a line or two, so that many merges are clean
+    import hashlib
+
+    body = lambda v: "\n".join(f"line {i}" + ("!" * (len(v[0]) + 1) if i == int(hashlib.sha256(v[0].encode()).hexdigest(), 16) % 40 else "") for i in range(40))
+    rewritten = [(v, list(p), body((v,)), f) for v, p, _, f in ((r.versionId, r.parents, r.contentHash, r.fileId) for r in g.collect())]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    text = {sha(t): t for _, _, t, _ in rewritten}
+    g = versions(spark, [(v, p, sha(t), f) for v, p, t, f in rewritten])
+    contents = spark.createDataFrame([(h, bytearray(t.encode())) for h, t in text.items()], "hash string, bytes binary")
+    dead = {r.id for r in rows.where("type = 'delete'").collect()}
+    pulled = {r.id for r in rows.where("event_id % 3 <> 0").collect()}
+    nodes = {r.versionId: (r.parents, r.contentHash, r.fileId) for r in g.collect()}
+    want = {}
+    for e in entries.collect():
+        own = {v: list(x) for v, x in nodes.items() if x[2] == e.id}
+        head, tried = e.headVersionId, set()
+        while True:
+            w = Walk(own, [x[0] for x in own.values()], [x[1] for x in own.values()])
+            named = {p for x in own.values() for p in x[0]}
+            able = [v for v in sorted(own) if v not in named and v != head and v in pulled and v not in dead and v not in tried and v not in w.above([head]) and w.base(head, v)[0]]
+            if not able:
+                break
+            leaf = able[0]
+            sides = [text.get(own[v][1]) for v in (w.base(head, leaf)[0], head, leaf)]
+            merged = None if None in sides else textmerge.three_way(*sides, canonical=True)
+            if merged is None or merged["hasConflicts"]:
+                tried.add(leaf)
+                continue
+            body = "\n".join(merged["merged"])
+            node, content = reconcile.merge_node(body, [head, leaf])
+            own[node] = [[head, leaf], content, e.id]
+            text[content], head = body, node
+        want[e.id] = head
+    ids = lambda x: spark.createDataFrame([(i,) for i in x], "versionId string")
+    heads, made, _ = reconcile.fold_heads(entries.select(F.col("id").alias("fileId"), F.col("headVersionId").alias("head")), g, contents, ids(pulled), ids(dead))
+    assert {r.fileId: r.head for r in heads.collect()} == want and made.count() > 0
+
+
+def test_large_components_are_walked_by_joins(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f"n{i}", [f"n{p}" for p in range(max(0, i - 4), i) if rng.random() < 0.4] + (["stub"] if i == 3 else []), f"h{i % 25}" if i % 6 else "", f"f{i % 2}") for i in range(45)] + [("a", [], "ha", "g"), ("b", ["a"], "hb", "g")]
+    g = versions(spark, rows)
+    pairs = spark.createDataFrame([(f"{i}", f"n{rng.randrange(45)}", f"n{rng.randrange(45)}", [f"n{rng.randrange(45)}"] if i % 3 else None) for i in range(25)] + [("small", "a", "b", ["a"])], "pair string, a string, b string, opens array<string>")
+    starts = spark.createDataFrame([("n44",), ("n30",), ("b",), ("unknown",)], "start string")
+    has = spark.createDataFrame([(f"h{i}",) for i in range(0, 25, 2)], "hash string")
+
+    def results():
+        frames = [graph.pair_facts(pairs, g), graph.ancestors(starts, g), graph.above(starts.withColumnRenamed("start", "versionId"), g), graph.reachable_hashes(starts.where("start <> 'unknown'"), g, has), graph.reachable_hashes(starts.where("start <> 'unknown'"), g, None, 3)]
+        return [sorted(map(str, f.select(*sorted(f.columns)).collect())) for f in frames]
+
+    by_kernel = results()
+    monkeypatch.setattr(graph, "MAX_COMPONENT", 10)
+    assert results() == by_kernel and all(by_kernel)
+
+
+def test_deep_chain():
+    n = 300_000
+    w = Walk([f"{i}" for i in range(n)] + ["x", "y"], [[f"{i - 1}"] if i else [] for i in range(n)] + [[f"{n - 1}"], [f"{n - 5}"]], [f"h{i}" for i in range(n + 2)])
+    assert w.base("x", "y") == (f"{n - 5}", False) and w.is_ancestor("0", "x") and not w.is_ancestor("x", "0") and len(w.above(["x", "y"])) == n + 2
