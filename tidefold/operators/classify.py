@@ -30,11 +30,16 @@ def _live_paths(entries: DataFrame, name: str) -> DataFrame:
 
 
 def _held(rows: DataFrame, hashes: dict[str, Column], stores: dict[str, DataFrame]) -> DataFrame:
-    """rows with a boolean `<hash>_<store>` for each: are the bytes there."""
+    """rows with a boolean `<hash>_<store>` for each: are the bytes there. The stores are read once, for the hashes that are asked for."""
+    asked = rows.select(F.explode(F.array_distinct(F.array(*hashes.values()))).alias("hash")).where("hash is not null").distinct()
+    every = None
+    for s, contents in stores.items():
+        one = contents.select("hash", *(F.lit(x == s).alias(x) for x in stores))
+        every = one if every is None else every.unionByName(one)
+    there = materialize(every.join(asked, "hash", "left_semi").groupBy("hash").agg(*(F.max(x).alias(x) for x in stores)))
     for k, column in hashes.items():
-        for s, contents in stores.items():
-            there = contents.select(F.col("hash").alias("_h"), F.lit(True).alias(f"{k}_{s}")).distinct()
-            rows = rows.withColumn("_q", column).join(there, F.col("_q") == F.col("_h"), "left").drop("_q", "_h").withColumn(f"{k}_{s}", F.coalesce(f"{k}_{s}", F.lit(False)))
+        rows = rows.withColumn("_q", column).join(there.select(F.col("hash").alias("_h"), *(F.col(x).alias(f"{k}_{x}") for x in stores)), F.col("_q") == F.col("_h"), "left").drop("_q", "_h")
+        rows = rows.withColumns({f"{k}_{x}": F.coalesce(f"{k}_{x}", F.lit(False)) for x in stores})
     return rows
 
 
@@ -48,12 +53,17 @@ def classify(local: DataFrame, remote: DataFrame, versions: DataFrame, local_con
     hit = F.when(only_r & ~F.col("r.deleted") & (F.col("lo.id") != F.col("r.id")), "remote").when(only_l & ~F.col("l.deleted") & (F.col("ro.id") != F.col("l.id")), "local")
     rows = rows.withColumn("hit", hit)
     rows = rows.withColumn("a", F.when(F.col("hit") == "remote", F.col("lo")).otherwise(F.col("l"))).withColumn("b", F.when(F.col("hit") == "local", F.col("ro")).otherwise(F.col("r")))
-    rows = materialize(rows.withColumn("pair", F.xxhash64("id")).drop("l", "r", "lo", "ro"))
+    # files on which both sides agree are done: M13, whatever the graph says
+    agreed = F.coalesce(both & ~F.col("a.deleted") & ~F.col("b.deleted") & (F.col("a.headVersionId") == F.col("b.headVersionId")) & (F.col("a.contentHash") == F.col("b.contentHash")) & (F.col("a.path") == F.col("b.path")), F.lit(False))
+    rows = materialize(rows.withColumn("agreed", agreed).drop("l", "r", "lo", "ro"))
+    done, rows = rows.where("agreed").select("id"), rows.where("not agreed").drop("agreed")
 
     heads = rows.where("a is not null and b is not null and a.headVersionId is not null and b.headVersionId is not null")
-    facts = graph.pair_facts(heads.select("pair", F.col("a.headVersionId").alias("a"), F.col("b.headVersionId").alias("b"), F.col("a.conflictParents").alias("opens")), versions).drop("a", "b")
+    facts = graph.pair_facts(heads.select(F.col("id").alias("pair"), F.col("a.headVersionId").alias("a"), F.col("b.headVersionId").alias("b"), F.col("a.conflictParents").alias("opens")), versions).drop("a", "b")
     node = lambda key, *more: versions.select(F.col("versionId").alias(key), *more)
-    rows = rows.join(facts, "pair", "left")
+    rows = materialize(rows.join(facts.withColumnRenamed("pair", "id"), "id", "left"))
+    asked = rows.select(F.explode(F.array_distinct(F.array("a.headVersionId", "b.headVersionId", "base"))).alias("versionId")).distinct()
+    versions = materialize(versions.join(asked, "versionId", "left_semi"))
     rows = rows.withColumn("_k", F.col("a.headVersionId")).join(node("_k", F.nullif("contentHash", F.lit("")).alias("head_hash")), "_k", "left").drop("_k")
     rows = rows.withColumn("_k", F.col("b.headVersionId")).join(node("_k", graph.is_merge_node(F.col("parents")).alias("b_merges")), "_k", "left").drop("_k")
     rows = rows.withColumn("_k", F.col("base")).join(node("_k", F.nullif("contentHash", F.lit("")).alias("base_hash")), "_k", "left").drop("_k")
@@ -141,7 +151,8 @@ def classify(local: DataFrame, remote: DataFrame, versions: DataFrame, local_con
 
     # --- texts, for those that need them ------------------------------------------------------
     need = told.where("told in ('text', 'M20:whole')")
-    bytes_of = local_contents.select("hash", "bytes").unionByName(remote_contents.select("hash", "bytes")).dropDuplicates(["hash"])
+    wanted = need.select(F.explode(F.array("a.contentHash", "b.contentHash", "base_hash")).alias("hash")).distinct()
+    bytes_of = materialize(local_contents.select("hash", "bytes").unionByName(remote_contents.select("hash", "bytes")).join(wanted, "hash", "left_semi").dropDuplicates(["hash"]))
     for k, h in (("lb", "a.contentHash"), ("rb", "b.contentHash"), ("zb", "base_hash")):
         need = need.withColumn("_q", F.col(h)).join(bytes_of.select(F.col("hash").alias("_h"), F.col("bytes").alias(k)), F.col("_q") == F.col("_h"), "left").drop("_q", "_h")
     binary = tx.is_binary(F.col("lb")) | tx.is_binary(F.col("rb"))
@@ -162,7 +173,10 @@ def classify(local: DataFrame, remote: DataFrame, versions: DataFrame, local_con
     merged = merging.map_rows(sides, "merge", schemas.MERGED, ["how", "base", "ours", "theirs"], lambda h, z, x, y: textmerge.three_way(z, x, y, canonical) if h == "merge" else textmerge.whole_conflict(x, y))
     need = need.drop("lb", "rb", "zb").join(merged.select("id", "merge"), "id", "left")
     clean = ~F.col("merge.hasConflicts")
-    end = F.when(F.col("how") != "merge", F.col("how")).when(clean & known, "M30:write_merge").when(clean, "M31:write_merged").otherwise("M32:conflict")
+    verb = F.when(clean & known, "write_merge").when(clean, "write_merged").otherwise("conflict")
+    # two sides of which no common base is known merge over an empty text, M29, with one of the three outcomes
+    outcome = F.when(known & F.col("base").isNull(), "M29").when(verb == "write_merge", "M30").when(verb == "write_merged", "M31").otherwise("M32")
+    end = F.when(F.col("how") != "merge", F.col("how")).otherwise(F.concat_ws(":", outcome, verb))
     need = need.withColumn("told", end).drop("how")
     rest = told.where("told not in ('text', 'M20:whole')").withColumn("merge", F.lit(None).cast(schemas.MERGED))
     out = rest.unionByName(need)
@@ -179,7 +193,9 @@ def classify(local: DataFrame, remote: DataFrame, versions: DataFrame, local_con
     head = F.when(is_adopt, re["headVersionId"]).when(verb == "keep", le["headVersionId"])
     clock = F.when(is_adopt, re["hlcTimestamp"]).when(verb.isin("keep", "send_remote"), le["hlcTimestamp"]).when(verb == "write_merged", F.greatest(le["hlcTimestamp"], re["hlcTimestamp"]))
     parents = F.when(verb.isin("unite", "write_merge", "conflict", "delete_conflict", "binary_conflict") & known, F.array(le["headVersionId"], re["headVersionId"]))
-    return out.select("id", part[0].alias("rule"), action.alias("action"), path.alias("path"), F.when(verb == "move_local", le["path"]).alias("from_path"), content_hash.alias("contentHash"), head.alias("headVersionId"), parents.alias("parents"), clock.alias("hlc"), F.when(verb == "delete_conflict", F.when(le["deleted"], "local_deleted").otherwise("remote_deleted")).alias("side"), "merge")
+    told = out.select("id", part[0].alias("rule"), action.alias("action"), path.alias("path"), F.when(verb == "move_local", le["path"]).alias("from_path"), content_hash.alias("contentHash"), head.alias("headVersionId"), parents.alias("parents"), clock.alias("hlc"), F.when(verb == "delete_conflict", F.when(le["deleted"], "local_deleted").otherwise("remote_deleted")).alias("side"), "merge")
+    nothing = [F.lit(None).cast(told.schema[x].dataType).alias(x) for x in told.columns[3:]]
+    return told.unionByName(done.select("id", F.lit("M13").alias("rule"), F.lit("no_op").alias("action"), *nothing))
 
 
 def only_r_of(is_hit: Column) -> Column:

@@ -57,7 +57,10 @@ def three_way(df: DataFrame, base: str = "base", ours: str = "ours", theirs: str
 
 
 def render(df: DataFrame, merge: str = "merge", out: str = "marked") -> DataFrame:
-    return map_rows(df, out, "string", [merge], lambda m: None if m is None else textmerge.render(m))
+    """df with marked text; merges without conflicts are joined without leaving the JVM."""
+    clean = F.coalesce(F.size(f"{merge}.conflicts") == 0, F.col(merge).isNull())
+    easy = df.where(clean).withColumn(out, F.array_join(f"{merge}.merged", "\n"))
+    return easy.unionByName(map_rows(df.where(~clean), out, "string", [merge], textmerge.render))
 
 
 def parse(df: DataFrame, text: str = "text", out: str = "segments") -> DataFrame:
@@ -70,11 +73,17 @@ def segments(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def count_conflicts(df: DataFrame, text: str = "text", out: str = "n_conflicts") -> DataFrame:
-    return parse(df, text, "_s").withColumn(out, F.size(F.filter("_s", lambda x: x["kind"] == "conflict"))).drop("_s")
+    """df with the number of conflicts; only texts with an opening mark are parsed."""
+    opened = F.coalesce(F.exists(tx.lines(F.col(text)), lambda x: x.startswith(tx.OURS)), F.lit(False))
+    easy = df.where(~opened).withColumn(out, F.when(F.col(text).isNotNull(), 0))
+    return easy.unionByName(parse(df.where(opened), text, "_s").withColumn(out, F.size(F.filter("_s", lambda x: x["kind"] == "conflict"))).drop("_s"))
 
 
 def resolve(df: DataFrame, text: str = "text", picks: str = "picks", out: str = "resolved") -> DataFrame:
-    return map_rows(df, out, "string", [text, picks], lambda t, p: None if t is None else textmerge.resolve(t, dict(p) if p else None))
+    """df with every conflict replaced by what its pick takes; only texts with an opening mark are parsed."""
+    opened = F.coalesce(F.exists(tx.lines(F.col(text)), lambda x: x.startswith(tx.OURS)), F.lit(False))
+    easy = df.where(~opened).withColumn(out, F.array_join(tx.lines(F.col(text)), "\n"))
+    return easy.unionByName(map_rows(df.where(opened), out, "string", [text, picks], lambda t, p: textmerge.resolve(t, dict(p) if p else None)))
 
 
 def bulk_resolve(files: DataFrame, picks: DataFrame) -> DataFrame:
