@@ -74,6 +74,10 @@ class Clock:
         """A new time after seeing another device's."""
         return self._tick(wall, [other[:2]])
 
+    def set_current(self, wall: int, counter: int) -> None:
+        """Stand at a stored time, or at zero for a device that forgets all."""
+        self.wall, self.counter = wall, counter
+
     def _tick(self, wall: int, seen: list[tuple[int, int]]) -> tuple[int, int, str]:
         top = max([wall, self.wall, *(w for w, _ in seen)])
         at_top = [n for w, n in [(self.wall, self.counter), *seen] if w == top]

@@ -13,6 +13,7 @@ from tidefold.functions import hlc
 OURS, BASE, SEPARATOR, THEIRS = "<<<<<<<", "|||||||", "=======", ">>>>>>>"
 DEFAULT_EXCLUDES = (".git", ".git/**", ".trash/**", ".DS_Store", "**/.DS_Store")
 BINARY_PROBE = 8192
+PHASES = {"Rebuilding": ["Rebuilding"], "Pulling": ["Pulling", "Downloading"], "Pushing": ["Pushing", "Uploading"], "Merging": ["Merging"], "Applying": ["Applying"], "Reconciling": ["Reconciling"]}
 LOCAL_ACTIONS = ("write_local", "write_merge", "move_local", "delete_local", "conflict", "delete_conflict", "binary_conflict")
 
 
@@ -101,22 +102,39 @@ def head_provenance(version_id: Column) -> Column:
 
 
 def relative_time(at: Column, now: Column) -> Column:
-    """just now, minutes, hours or days."""
-    s = (now - at) / 1000
-    whole = lambda x: F.round(x).cast("bigint").cast("string")
-    return F.when(s < 45, F.lit("just now")).when(s < 3600, F.concat(whole(s / 60), F.lit("m ago"))).when(s < 86400, F.concat(whole(s / 3600), F.lit("h ago"))).otherwise(F.concat(whole(s / 86400), F.lit("d ago")))
+    """just now, whole minutes, hours or days; empty for what is still to come."""
+    s = F.floor((now - at) / 1000)
+    ago = lambda span, unit: F.concat(F.floor(s / span).cast("string"), F.lit(f"{unit} ago"))
+    return F.when(now < at, F.lit("")).when(s < 45, F.lit("just now")).when(s < 3600, ago(60, "m")).when(s < 86400, ago(3600, "h")).otherwise(ago(86400, "d"))
 
 
 def byte_size(n: Column) -> Column:
     return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1048576, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / 1048576))
 
 
-def device_label(device: Column) -> Column:
-    return F.concat(F.lit("device "), F.substring(device, 1, 6))
+def device_label(device: Column, own: str | None = None) -> Column:
+    label = F.concat(F.lit("device "), F.substring(device, 1, 6))
+    return label if own is None else F.when(device == own, F.lit("this device")).otherwise(label)
+
+
+def coarse_phase(label: Column) -> Column:
+    """The phase of a round that a detailed label belongs to."""
+    out = F.when(F.lit(False), "")
+    for phase, starts in PHASES.items():
+        for x in starts:
+            out = out.when(label.startswith(x), f"{phase}\u2026")
+    return out.otherwise("Syncing\u2026")
+
+
+def pick_summary(kept_deleted: Column, restored: Column, binary: Column) -> Column:
+    """What a set of decisions leads to, in words."""
+    many = lambda n, one: F.concat(n.cast("string"), F.lit(f" {one}"), F.when(n == 1, "").otherwise("s"))
+    parts = F.array(F.when(kept_deleted > 0, F.concat(many(kept_deleted, "deletion"), F.lit(" kept"))), F.when(restored > 0, F.concat(restored.cast("string"), F.lit(" restored"))), F.when(binary > 0, F.concat(many(binary, "binary version"), F.lit(" chosen"))))
+    return F.concat(F.array_join(parts, ", "), F.lit("."))
 
 
 def op_label(kind: Column) -> Column:
-    return F.when(kind == "create", "Created").when(kind == "update", "Edited").when(kind == "delete", "Deleted").when(kind == "move", "Moved").otherwise(kind)
+    return F.when(kind == "create", "New").when(kind == "update", "Edited").when(kind == "delete", "Deleted").when(kind == "move", "Moved").otherwise(kind)
 
 
 def error_of_status(status: Column) -> Column:

@@ -60,6 +60,22 @@ def next_entries(registry: DataFrame, actions: DataFrame, ops: DataFrame) -> Dat
     return out.where("path is not null")
 
 
+def settle(actions: DataFrame, failures: DataFrame) -> DataFrame:
+    """actions with `status`: applied, deferred, failed (in failures(id)) or skipped.
+
+    One action that fails does not keep others from being done; but after MAX_FAILURES + 1 of them, in
+    order of id, nothing more is tried.
+    """
+    rows = actions.join(failures.select("id", F.lit(True).alias("_f")).distinct(), "id", "left")
+    # the limit is the rule: the failure that ends the run
+    last = failures.select("id").distinct().join(actions.select("id"), "id", "left_semi").orderBy("id").limit(MAX_FAILURES + 1).agg(F.count("*").alias("n"), F.max("id").alias("last"))
+    rows = rows.join(F.broadcast(last), F.lit(True))  # one row
+    late = (F.col("n") > MAX_FAILURES) & (F.col("id") > F.col("last"))
+    deferred = F.coalesce(F.col("decision") == "defer", F.lit(False))
+    status = F.when(late, "skipped").when(F.col("_f"), "failed").when(deferred, "deferred").otherwise("applied")
+    return rows.withColumn("status", status).drop("_f", "n", "last")
+
+
 def outcome(actions: DataFrame, failures: DataFrame) -> DataFrame:
     """One row: applied, deferred, failed, aborted (over MAX_FAILURES) and changes to this side."""
     rows = actions.join(failures.select("id", F.lit(True).alias("_f")), "id", "left")

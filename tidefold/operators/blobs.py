@@ -67,6 +67,20 @@ def compacted(index: DataFrame, contents: DataFrame, keep: DataFrame) -> DataFra
     return contents.join(index.select("hash"), "hash", "left_semi").join(keep, "hash", "left_semi").where(F.sha2("bytes", 256) == F.col("hash"))
 
 
+def compact(index: DataFrame, packs: DataFrame, keep: DataFrame, plan: DataFrame, flush: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(index, packs) after a plan of gc_plan() or consolidation_plan(): packs to be retired, merged or compacted go, and their
+    live blobs that verify are written to new ones; the others stay as they are."""
+    from tidefold.sources import journals
+
+    gone = materialize(plan.where("verdict in ('retire', 'merge', 'compact')").select("packId"))
+    old = index.join(gone, "packId", "left_semi")
+    live = materialize(compacted(old, journals.read_packed(old, packs.join(gone, "packId", "left_semi")), keep))
+    first = journals.next_pack(index).first()["n"]
+    new_index, new_packs = journals.write_packs(live, flush, first)
+    stay = lambda x: x.join(gone, "packId", "left_anti")
+    return stay(index).unionByName(new_index), stay(packs).unionByName(new_packs)
+
+
 def resolve_tiers(wanted: DataFrame, registry: DataFrame, index: DataFrame, remote: DataFrame) -> DataFrame:
     """fileId, hash, tier: 0 the registry has it for this file, 1 a pack has it, 2 the server has it; null: missing."""
     own = registry.where("not deleted").select(F.col("id").alias("fileId"), F.col("contentHash").alias("hash"), F.lit(True).alias("t0")).distinct()

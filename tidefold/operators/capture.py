@@ -55,6 +55,41 @@ def capture(registry: DataFrame, listing: DataFrame, hashes: DataFrame, excluded
     return rows.select("path", F.coalesce("r_id", tx.stable_id(F.lit("file"), F.col("path"))).alias("id"), "outcome", kind.alias("type"), F.when(kind.isNotNull(), content).alias("contentHash"), F.when(F.col("outcome") != "create", F.col("r_head")).alias("parent"))
 
 
+def recapture(first: DataFrame, registry: DataFrame, listing: DataFrame, hashes: DataFrame, dirty: DataFrame, **options: object) -> DataFrame:
+    """first, with the rows of the paths that were edited while it ran, dirty(path), taken from a second look at registry and files."""
+    again = capture(registry, listing, hashes, **options).join(dirty.select("path").distinct(), "path", "left_semi")
+    return first.join(dirty.select("path"), "path", "left_anti").unionByName(again)
+
+
+def mutate(registry: DataFrame, changes: DataFrame) -> DataFrame:
+    """registry after changes(kind, id, path, to_path, contentHash, hlcTimestamp, mtime, size, versionId, parents), one a file.
+
+    A change names a file by id, or by the path of its live entry; unknown ones change nothing. Kinds: path,
+    content, stat, delete, head, conflict, clear_conflict, synced.
+    """
+    live = registry.where("not deleted").groupBy(F.col("path").alias("path")).agg(F.max("id").alias("_live"))
+    found = changes.select(F.struct(*changes.columns).alias("c"), "id", "path").join(live, "path", "left").select(F.coalesce("id", "_live").alias("id"), "c").where("id is not null")
+    rows = registry.join(found, "id", "left")
+    kind = F.coalesce("c.kind", F.lit(""))
+
+    def new(column: str, value: Column, *kinds: str) -> Column:
+        return F.when(kind.isin(*kinds), value).otherwise(F.col(column)).alias(column)
+
+    stat = kind.isin("stat") | ((kind == "content") & F.col("c.mtime").isNotNull())
+    made = {
+        "path": new("path", F.col("c.to_path"), "path"),
+        "contentHash": new("contentHash", F.col("c.contentHash"), "content", "conflict"),
+        "hlcTimestamp": new("hlcTimestamp", F.col("c.hlcTimestamp"), "path", "content", "delete", "conflict"),
+        "deleted": new("deleted", F.lit(True), "delete"),
+        "lastSyncedPath": new("lastSyncedPath", F.col("path"), "synced"),
+        "headVersionId": new("headVersionId", F.col("c.versionId"), "head"),
+        "conflictParents": F.when(kind == "conflict", F.col("c.parents")).when(kind != "clear_conflict", F.col("conflictParents")).alias("conflictParents"),
+        "mtime": F.when(stat, F.col("c.mtime")).otherwise(F.col("mtime")).alias("mtime"),
+        "size": F.when(stat, F.col("c.size")).otherwise(F.col("size")).alias("size"),
+    }
+    return rows.select(*(made.get(x, F.col(x)) for x in registry.columns))
+
+
 def capture_stats(captured: DataFrame) -> DataFrame:
     return captured.agg(F.count_if(~F.col("outcome").isin("excluded", "delete", "dropped", "held")).alias("files"), F.count("type").alias("ops"), F.count_if(F.col("outcome") == "too_large").alias("too_large"))
 

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where none is set, as in tests, a local one that goes at the end."""
+    """The folder of spark.checkpoint.dir; where none is set and all runs on one machine, as in tests, a local one that goes at the end."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidefold-")
         spark.conf.set("spark.checkpoint.dir", base)
         atexit.register(shutil.rmtree, base, True)

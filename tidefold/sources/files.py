@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 from pathlib import Path
 
@@ -22,10 +23,21 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(relative(F.col("path"), root).alias("path"), F.unix_millis("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
+#: Wanted files up to this number are named to the scan, so that no others are opened; beyond it all are read and joined.
+NAMED = 10_000
+
+
 def contents(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
     """path, bytes of the wanted files; null bytes for files that are not there."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(relative(F.col("path"), root).alias("path"), F.col("content").alias("bytes"))
-    return paths.join(rows, "path", "left")
+    there = [r["path"] for r in listing(spark, root).select("path").join(paths.select("path"), "path", "left_semi").limit(NAMED + 1).collect()]
+    if not there:
+        return paths.withColumn("bytes", F.lit(None).cast("binary"))
+    some = spark.read.format("binaryFile")
+    if len(there) <= NAMED:
+        rows = some.load([f"{root.rstrip('/')}/" + re.sub(r"([][{}*?,^!\\])", r"\\\1", p) for p in there])
+    else:
+        rows = some.option("recursiveFileLookup", "true").load(root)
+    return paths.join(rows.select(relative(F.col("path"), root).alias("path"), F.col("content").alias("bytes")), "path", "left")
 
 
 def change_events(spark: SparkSession, directory: str) -> DataFrame:

@@ -36,6 +36,9 @@ class Folder:
 
     def __init__(self, device: str, state: dict | None = None):
         self.files: dict[str, dict] = (state or {}).get("files", {})  # by id: path, hash, head, open, deleted
+        self.at: dict[tuple[str, bool], set[str]] = {}  # ids by path, live and deleted
+        for i, f in self.files.items():
+            self.at.setdefault((f["path"], f["deleted"]), set()).add(i)
         wall, counter = (state or {}).get("clock", (0, 0))
         self.clock = hlc.Clock(device, wall, counter)
 
@@ -43,8 +46,14 @@ class Folder:
         return {"files": self.files, "clock": (self.clock.wall, self.clock.counter)}
 
     def _at(self, path: str, deleted: bool = False) -> str | None:
-        found = [i for i, f in self.files.items() if f["path"] == path and f["deleted"] == deleted]
-        return max(found) if found else None
+        return max(self.at.get((path, deleted), ()), default=None)
+
+    def _set(self, i: str, **new: object) -> None:
+        """Change a file, and where it is found."""
+        f = self.files.setdefault(i, {"path": None, "hash": None, "head": None, "open": [], "deleted": False})
+        self.at.get((f["path"], f["deleted"]), set()).discard(i)
+        f.update(new)
+        self.at.setdefault((f["path"], f["deleted"]), set()).add(i)
 
     def _op(self, kind: str, file_id: str, wall: int, parents: list[str]) -> dict:
         import hashlib
@@ -66,14 +75,14 @@ class Folder:
             i = self._at(old) if old else None
             if i is None:
                 return self.event("create", path, None, wall, data)
-            self.files[i]["path"] = path
+            self._set(i, path=path)
             return [self._op("move", i, wall, [self.files[i]["head"]])]
         i = self._at(path)
         if kind == "delete" and not exists:
             if i is None:
                 return []
             f = self.files[i]
-            f["deleted"], f["open"] = True, []
+            self._set(i, deleted=True, open=[])
             return [self._op("delete", i, wall, [f["head"]])] if f["hash"] else []
         if data is None:
             return []
@@ -82,7 +91,7 @@ class Folder:
             dead = self._at(path, True)
             i = dead or str(uuid.uuid5(uuid.NAMESPACE_URL, f"{self.clock.device}/{path}/{self.clock.wall}/{self.clock.counter}/{wall}"))
             head = [self.files[i]["head"]] if dead and self.files[i]["head"] else []
-            self.files[i] = {"path": path, "hash": h, "head": head[0] if head else None, "open": [], "deleted": False}
+            self._set(i, path=path, hash=h, head=head[0] if head else None, open=[], deleted=False)
             return [self._op("update" if head else "create", i, wall, head)]
         f = self.files[i]
         if f["hash"] == h:
@@ -134,15 +143,12 @@ def fold_stream(events: DataFrame) -> DataFrame:
 
 
 def append_once(stream: DataFrame, path: str, checkpoint: str, key: str = "clientOpId") -> Callable:
-    """A started query that appends each key once to Parquet at path, also when a batch comes again."""
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(path).select(key)
-            batch = batch.join(old, key, "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        batch.dropDuplicates([key]).write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """A started query that appends each key once to Parquet at path, also when a batch comes again.
+
+    Keys seen are the stream's state, dealt by key: a batch meets its own keys, not the whole target. A batch
+    is a folder of its own by its number, and is written over when it comes again after a failure.
+    """
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return stream.dropDuplicates([key]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
