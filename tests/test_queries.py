@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from tidefold.plans import queries
+from tidefold.plans import known, queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -191,13 +191,6 @@ def graph_build(spark, d):
 HEADS = PROJECT.replace("entries as", "ent as") + GRAPH
 
 
-@query()
-def graph_reachable(spark, d):
-    """Hashes reachable from the heads, by generation."""
-    heads = _entries(spark, d).select(F.col("headVersionId").alias("start")).where("start is not null")
-    return graph.reachable_hashes(heads, _versions(spark, d)).select("start", "hash", "generation")
-
-
 RECURSIVE = FIXTURE_SQL.replace("with ev as", "with recursive ev as", 1)
 
 
@@ -215,7 +208,7 @@ SQL["graph_ancestors"] = RECURSIVE + HEADS + """, walk as (select headVersionId
 def graph_merge_base(spark, d):
     """Common bases of the replicas' heads, or that there are several."""
     l, r, v, _ = _replicas(spark, d)
-    pairs = l.select("id", F.col("headVersionId").alias("a")).join(r.select("id", F.col("headVersionId").alias("b")), "id").select(F.xxhash64("id").alias("pair"), "a", "b", F.array().cast("array<string>").alias("opens"))
+    pairs = l.select("id", F.col("headVersionId").alias("a")).join(r.select("id", F.col("headVersionId").alias("b")), "id").select(F.col("id").alias("pair"), "a", "b", F.array().cast("array<string>").alias("opens"))
     return graph.pair_facts(pairs, v).select("a", "b", "base", "ambiguous", "a_above_b", "b_above_a")
 
 
@@ -284,15 +277,6 @@ def converged_files(spark, d):
     return classify.converged(_entries(spark, d, 1), _entries(spark, d, 2))
 
 
-@query()
-def scoped_staging(spark, d):
-    """Hashes that the merge needs."""
-    l, r, v, _ = _replicas(spark, d)
-    reach = graph.reachable_hashes(l.select(F.col("headVersionId").alias("start")).where("start is not null"), v)
-    by_id = reach.join(l.select("id", F.col("headVersionId").alias("start")), "start").select("id", "hash")
-    return classify.needed_hashes(l, r, by_id)
-
-
 @query()
 def text_three_way(spark, d):
     """Three-way merges of documents' lines."""
@@ -495,13 +479,6 @@ def sealed_ops(spark, d):
     return rows.select(crypto.unseal_op(crypto.seal_op(F.col("op"), key), key, "id string, fileId string, type string").alias("o")).select("o.*")
 
 
-@query()
-def blinded_hashes(spark, d):
-    """S31."""
-    key = crypto.derive("a passphrase", "a vault", 1000)["blind"]
-    return fixtures.contents(spark, d).select("hash", crypto.blind(F.col("hash"), key).alias("blinded"))
-
-
 @query("""with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 7200 second then 0 else 1 end as new from events),
 g as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as g from e)
 select 'p' || user_id as path, epoch_us(min(ts)) // 1000 as first_ms, epoch_us(max(ts)) // 1000 as last_ms, count(*) as n from g group by user_id, g""", fixture=False)
@@ -626,7 +603,7 @@ def blob_get(spark, d):
 
 
 @query("""select event_id, case when event_id % 200000 < 1024 then (event_id % 200000) || ' B' else printf('%.1f KB', floor((event_id % 200000) / 1024.0 * 10 + 0.5) / 10) end as size, 'device ' || substr('abcdef123' || event_id, 1, 6) as device,
-    case event_type when 'view' then 'Moved' when 'error' then 'Deleted' when 'signup' then 'Created' else 'Edited' end as op, case event_id % 5 when 0 then 'setup' when 1 then 'setup' when 2 then 'link' when 3 then 'link' else 'other' end as error from events""", fixture=False)
+    case event_type when 'view' then 'Moved' when 'error' then 'Deleted' when 'signup' then 'New' else 'Edited' end as op, case event_id % 5 when 0 then 'setup' when 1 then 'setup' when 2 then 'link' when 3 then 'link' else 'other' end as error from events""", fixture=False)
 def labels(spark, d):
     """labels of sizes, devices, operations and errors."""
     e = F.col("event_id")
@@ -644,18 +621,6 @@ def preflight(spark, d):
     return remote.preflight("t2", owners, store, crypto.slot()).select("verdict", crypto.key_check(F.col("keyCheck"), key).alias("has_check"))
 
 
-@query()
-def garbage_collection(spark, d):
-    """P7, ST10: versions that stay, tombstones that go and packs' verdicts."""
-    rows = _ops(spark, d)
-    entries = materialize(oplog.project(fixtures.plain(rows)))
-    index = fixtures.pack_index(spark, d)
-    packs = index.select("packId", F.lit(0).cast("bigint").alias("mtime")).distinct()
-    none = spark.createDataFrame([], "id string, parents array<string>")
-    kept, gone, verdicts = rounds.collect_garbage(entries, none, materialize(graph.build(graph.from_ops(rows))), index, packs, 1_800_000_000_000, 1)
-    return kept.select(F.lit("version").alias("kind"), F.col("versionId").alias("id")).union(gone.select(F.lit("tombstone"), "id")).union(verdicts.select(F.concat(F.lit("pack "), "verdict"), "packId"))
-
-
 @query()
 def sync_round(spark, d):
     """A whole round of device 1 against what devices 0 and 2 wrote."""
