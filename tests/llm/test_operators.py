@@ -136,18 +136,22 @@ def test_packing(docs, nothing):
 # --- 2 ----------------------------------------------------------------------------------------------
 
 
+def plain_words(text):
+    return [x for x in (w.strip(license_scan.TRIM.encode()) for w in lowered(text)) if x]
+
+
 def brute_finds(text):
-    _, h = license_scan.word_hashes(pa.array([text or ""]))
-    out = set()
+    """Names of templates of which some stretch has enough shingles."""
+    h, out = plain_words(text), set()
     for name, t in license_scan.TEMPLATES.items():
-        _, own = license_scan.word_hashes(pa.array([t]))
+        own = plain_words(t)
         k = min(license_scan.SHINGLE, len(own))
         want = {tuple(own[i : i + k]) for i in range(len(own) - k + 1)}
-        size = len(own)
-        for a in range(len(h)):
-            part = h[a : a + size + size // 2]
-            if len({tuple(part[i : i + k]) for i in range(len(part) - k + 1)} & want) >= 0.8 * len(want):
+        at = [i for i in range(len(h) - k + 1) if tuple(h[i : i + k]) in want]
+        for n, a in enumerate(at):
+            if len({tuple(h[i : i + k]) for i in at[n:] if i < a + 1.3 * len(want) + k}) >= license_scan.CONTAINMENT * len(want):
                 out.add(name)
+                break
     return out
 
 
@@ -161,11 +165,58 @@ def test_license_scan(spark, nothing):
     rows += [None, "", "Released under the", "RELEASED, under the MIT license!", "Released under the MIT License. " * 3]
     got = license_scan.license_scan(spark.createDataFrame([(i, t, 5) for i, t in enumerate(rows)], "doc_id int, text string, finds int")).collect()
     for r in got:
-        assert set(r.licenses) == brute_finds(rows[r.doc_id]), rows[r.doc_id]
+        assert {f.template for f in r.finds if f.whole} == brute_finds(rows[r.doc_id]), rows[r.doc_id]
+        assert set(r.licenses) == {f.template for f in r.finds} and r.n_finds == len(r.finds)
     assert {r.doc_id: r.n_finds for r in got}[len(rows) - 1] == 3
     assert license_scan.license_scan(nothing).count() == 0
 
 
+def changed_copies(rng, words, how):
+    """A license's words, changed as licenses are."""
+    filler = [f"w{i}" for i in range(500)]
+    if how == "edited":
+        out = []
+        for w in words:
+            r = rng.random()
+            out += [] if r < 0.005 else [rng.choice(filler)] if r < 0.01 else [w, rng.choice(filler)] if r < 0.015 else [w]
+        return " ".join(out)
+    if how == "reflowed":
+        sign, lines, line = rng.choice(["// ", "# ", " * ", ""]), [], ""
+        for w in words:
+            if len(line) + len(w) > rng.choice([60, 80]):
+                lines.append(sign + line)
+                line = ""
+            line += f" {w}"
+        return "\n".join([*lines, sign + line])
+    n = max(60, len(words) // 2)
+    return " ".join(words[:n] if how == "cut off" else words[-n:])
+
+
+@pytest.mark.parametrize("how", ["edited", "reflowed", "cut off", "end only"])
+def test_license_recall(how):
+    rng, given = random.Random(9), tuple(sorted(license_scan.TEMPLATES.items()))
+    long = [(k, t.split()) for k, t in given if len(t.split()) >= 60]
+    rows = [(k, " ".join([*(f"a{rng.randrange(99)}" for _ in range(rng.randrange(80))), "\n", changed_copies(rng, w, how), "\n", *(f"b{rng.randrange(99)}" for _ in range(rng.randrange(80)))])) for k, w in long for _ in range(3)]
+    found = license_scan.scan(pa.array([t for _, t in rows]), given)
+    hits = [any(x[1] == k for x in f) for (k, _), f in zip(rows, found, strict=True)]
+    assert len(rows) > 40 and sum(hits) >= 0.9 * len(hits)
+
+
+def test_no_license_in_plain_texts(corpus):
+    assert not any(license_scan.scan(pa.array([t for _, t, _ in corpus]), tuple(sorted(license_scan.TEMPLATES.items()))))
+
+
+def test_bands_meet_as_often_as_stated():
+    rng = np.random.default_rng(4)
+    size, met, share = license_scan.WIDE, 0, 0.6
+    for _ in range(150):
+        both = int(round(2 * size * share / (1 + share)))
+        x = rng.integers(0, 2**63, 2 * size - both).astype(np.uint64)
+        a, b = x[:size], np.concatenate([x[:both], x[size:]])
+        met += any((p == q).all() for p, q in zip(license_scan.signatures(a, size, 1), license_scan.signatures(rng.permutation(b), size, 1), strict=True))
+    assert met >= 148
+
+
 # --- 3 ----------------------------------------------------------------------------------------------
 
 
