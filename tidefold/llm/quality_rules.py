@@ -8,7 +8,7 @@ length: the squared distance that a sample of that size has by chance, and a mar
 Null text counts as empty: all counts 0, base_failed true. Documents too short for a histogram to
 mean anything are not judged by it (MIN_CHARS, MIN_WORDS). Every language of MIN_REFERENCE documents
 has a reference. A document whose language has none, or that has no language, is not judged by other
-languages: only the base rules hold for it. Repeated rows are judged alike; input columns with the
+languages: only the base rules hold for it, as for all if there is no such column. Repeated rows are judged alike; input columns with the
 names of results give way to them.
 """
 
@@ -135,6 +135,8 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> Refer
         return [(~m["base_failed"]).astype(np.int64), _lists(both)]
 
     fields = [c.field("_n", "long"), c.field("_h", "array<long>")]
+    if lang not in docs.columns:
+        return References({}, None)
     sums = c.add_columns(docs.select(F.col(lang).cast("string").alias("_lang"), text), text, make, fields, ["_lang"])
     by = sums.where("_n > 0 and _lang is not null").groupBy("_lang").agg(F.sum("_n").alias("_n"), *(F.sum(F.col("_h")[i]).alias(f"h{i}") for i in range(k + v)))
     total = c.materialize(by)
@@ -215,7 +217,8 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep:
     kept = [x for x in (docs.columns if keep is None else keep) if x not in (*made, "kept")]
     inner = [*fields, c.field("_odd_chars", "boolean"), c.field("_odd_words", "boolean"), *([c.field("_h", "array<long>")] if joined else [])]
     known = F.coalesce(F.col("_lang").isin(list(refs.large)), F.lit(False))
-    out = c.add_columns(docs.select(*dict.fromkeys([*kept, text]), F.col(lang).cast("string").alias("_lang")), text, make, inner, [*kept, "_lang"])
+    own = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
+    out = c.add_columns(docs.select(*dict.fromkeys([*kept, text]), own.alias("_lang")), text, make, inner, [*kept, "_lang"])
     if small is None:
         out = out.withColumn("_judged", known)
     else:
