@@ -483,6 +483,13 @@ def test_every_length_is_compared(spark, monkeypatch, block):
 # --- 8 ----------------------------------------------------------------------------------------------
 
 
+def test_url_filter_with_columns_of_its_own_names(spark):
+    captures = spark.createDataFrame([("http://a.example.org/x", "2024-01-05", "mine", 7, "c")], "url string, day string, _host string, _day int, c0 string").withColumn("day", F.col("day").cast("date"))
+    entries = spark.createDataFrame([("spam", "example.org", "2024-01-01", "add")], "list_name string, domain string, day string, action string").withColumn("day", F.col("day").cast("date"))
+    r = url_filter.url_filter(captures, entries).first()
+    assert (r["_host"], r["_day"], r.c0, r.host, r.n_lists, r.kept) == ("mine", 7, "c", "a.example.org", 1, False)
+
+
 def test_url_filter(spark):
     entries = [("spam", "bad.example", 10, "add"), ("spam", "bad.example", 20, "remove"), ("spam", "bad.example", 30, "add"), ("adult", "EXAMPLE.org", 5, "add"), ("spam", "x.example.org", 5, "add"), ("spam", "tie.example", 7, "add"), ("spam", "tie.example", 7, "remove"), ("spam", "twice.example", 3, "add"), ("spam", "twice.example", 4, "add"), ("spam", None, 1, "add"), ("spam", "other.example", 1, "odd")]
     urls = ["http://bad.example/x", "https://www.bad.example:80/", "http://notbad.example", "http://u@x.example.org./a?b", "https://Example.ORG", "http://tie.example", "http://twice.example", "no url", "", None, "http://10.0.0.1/", "http://localhost/"]
@@ -561,6 +568,11 @@ def test_quality_rules(docs, nothing, corpus):
     assert quality_rules.quality_rules(nothing).count() == 0
 
 
+def test_rules_without_a_language_column(docs):
+    got = quality_rules.quality_rules(docs.drop("lang")).collect()
+    assert all(r.kept == (not r.base_failed) for r in got) and any(r.kept for r in got)
+
+
 def test_js_distance():
     p = np.array([[1.0, 0], [0, 1], [1, 1], [0, 0]])
     assert quality_rules.js_distance(p, np.array([1.0, 0])) == pytest.approx([0, 1, 0.5579230452841438, 0])

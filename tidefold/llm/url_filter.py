@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidefold.llm import common as c
 
-#: Labels of a host that are looked at, from its end; DNS allows 127.
+#: The most labels that a host name can have: 253 characters, a dot between any two.
 MAX_LABELS = 127
 
 
@@ -36,11 +36,11 @@ def host_of(url: Column) -> Column:
 
 
 def parents_of(host: Column) -> Column:
-    """The host and its parent domains of at least two labels; the host alone if it has fewer."""
+    """The host and its parent domains of at least two labels; the host alone if it has fewer, or so many that it is no host name."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    many = F.transform(F.sequence(F.lit(0), F.least(n - 2, F.lit(MAX_LABELS))), lambda i: F.array_join(F.slice(labels, i + 1, n), "."))
-    return F.when(n >= 2, many).otherwise(F.array(host))
+    many = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.array_join(F.slice(labels, i + 1, n), "."))
+    return F.when((n >= 2) & (n <= MAX_LABELS), many).otherwise(F.array(host))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -54,14 +54,14 @@ def intervals(entries: DataFrame) -> DataFrame:
 def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "day") -> DataFrame:
     """captures with host, n_lists (lists that hold the URL at its day), first_list and kept."""
     new = ("host", "n_lists", "first_list", "kept")
-    rows = captures.withColumn("_host", host_of(F.col(url))).withColumn("_day", F.col(day))
+    own = [x for x in captures.columns if x not in new]  # the input's columns step aside under numbers, whatever their names
+    rows = captures.select(*(F.col(f"`{x}`").alias(f"c{i}") for i, x in enumerate(own)), host_of(F.col(f"`{url}`")).alias("_host"), F.col(f"`{day}`").alias("_day"))
     asked = rows.where("_host is not null and _day is not null").groupBy("_host", "_day").agg(F.lit(1).alias("_one"))
     met = asked.select("_host", "_day", F.explode(parents_of(F.col("_host"))).alias("domain"))
     hits = met.join(intervals(entries), "domain").where("valid_from <= _day and (valid_to is null or _day < valid_to)")
     verdict = c.materialize(hits.groupBy("_host", "_day").agg(F.count_distinct("list_name").alias("n_lists"), F.min("list_name").alias("first_list")))
-    out = rows.drop(*(x for x in new if x in captures.columns)).join(verdict, ["_host", "_day"], "left")
-    kept = [x for x in captures.columns if x not in new]
-    return out.select(*kept, F.col("_host").alias("host"), F.coalesce("n_lists", F.lit(0)).cast("long").alias("n_lists"), "first_list", F.coalesce(F.col("n_lists") == 0, F.lit(True)).alias("kept"))
+    out = rows.join(verdict, ["_host", "_day"], "left")
+    return out.select(*(F.col(f"c{i}").alias(x) for i, x in enumerate(own)), F.col("_host").alias("host"), F.coalesce("n_lists", F.lit(0)).cast("long").alias("n_lists"), "first_list", F.coalesce(F.col("n_lists") == 0, F.lit(True)).alias("kept"))
 
 
 # --- entries and fetch days from the pages table ----------------------------------------------
