@@ -35,8 +35,18 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_MADE: dict[tuple[str, str], DataFrame] = {}
+
+
 def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id and the columns of an operation; parents are sorted."""
+    """event_id and the columns of an operation; parents are sorted. The table is written once a session and folder, and read from then on."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MADE:
+        _MADE[key] = make_ops(spark, sf_dir)
+    return _MADE[key]
+
+
+def make_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("wall"))
     ev = ev.withColumn("fileId", F.concat(F.lit("f"), F.lpad(F.col("user_id").cast("string"), 6, "0"))).withColumn("device", F.concat(F.lit("dev-"), (F.col("event_id") % 3).cast("string")))
     by_file = W.partitionBy("fileId").orderBy("rn")
