@@ -32,6 +32,7 @@ Other columns of the input do not go to the output.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +42,13 @@ from pyspark.sql import functions as F
 
 from tidefold.llm import common as c
 
-DEPTH, GAIN = 3, 2.0
+DEPTH, GAIN, GRAIN = 3, 2.0, 2.0**-20
 #: Bytes of text in a slice, and for which there is a bucket.
-SLICE_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+SLICE_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 #: The hash of an end.
 END = c.seeds(1, 77)[0]
-_CODED = "slice long, n int, ids binary, known binary, train binary, codes binary, words binary"
-_ROWS = "bucket int, slice long, kind int, a binary, b binary"
+_CODED = "slice long, n int, n_codes int, n_words int, ids binary, known binary, train binary, codes binary, words binary"
+_ROWS = "bucket int, slice long, kind int, n int, a binary, b binary"
 #: A message about sequences of n words has kind n, one about contexts of d words kind STATES + d.
 STATES = 100
 
@@ -55,16 +56,23 @@ STATES = 100
 # --- bytes ------------------------------------------------------------------------------------
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """64-bit numbers by planes of bytes, which compress where numbers are small."""
-    return b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), 8).T.tobytes() for x in columns)
+_ZSTD = {level: pa.Codec("zstd", level) for level in (1, 3)}
+
+
+def pack(*columns: np.ndarray, level: int = 1) -> bytes:
+    """Numbers of 4 or 8 bytes as compressed planes of bytes, small where the numbers are."""
+    wide = columns[0].itemsize
+    raw = b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), wide).T.tobytes() for x in columns)
+    return len(raw).to_bytes(8, "little") + _ZSTD[level].compress(raw, asbytes=True)
 
 
 def unpack(data: bytes, n: int, dtype: type = np.int64) -> list[np.ndarray]:
     """The columns of n numbers each."""
-    k = len(data) // (8 * n) if n else 0
-    planes = np.frombuffer(data, np.uint8).reshape(k, 8, n)
-    return [np.ascontiguousarray(planes[i].T).reshape(-1).view(dtype) for i in range(k)]
+    size, wide = int.from_bytes(data[:8], "little"), np.dtype(dtype).itemsize
+    if not size:
+        return []
+    planes = np.frombuffer(_ZSTD[1].decompress(memoryview(data)[8:], size), np.uint8).reshape(-1, wide, n)
+    return [np.ascontiguousarray(planes[i].T).reshape(-1).view(dtype) for i in range(len(planes))]
 
 
 def _steps(h: np.ndarray) -> np.ndarray:
@@ -94,7 +102,8 @@ def _messages(where: int, kind: int, buckets: int, h: np.ndarray, *columns: np.n
     cuts = list(zip(np.searchsorted(at, full), np.searchsorted(at, full, side="right"), strict=True))
     a, b = [pack(_steps(h[p:q])) for p, q in cuts], [pack(*(x[p:q] for x in columns)) for p, q in cuts]
     ints = [pa.array(full.astype(np.int32)), pa.array([where] * len(full), pa.int64()), pa.array([kind] * len(full), pa.int32())]
-    return pa.table([*ints, c.blobs(a), c.blobs(b)], names=["bucket", "slice", "kind", "a", "b"])
+    ints.append(pa.array([q - p for p, q in cuts], pa.int32()))
+    return pa.table([*ints, c.blobs(a), c.blobs(b)], names=["bucket", "slice", "kind", "n", "a", "b"])
 
 
 # --- slices -----------------------------------------------------------------------------------
@@ -131,73 +140,84 @@ def code(docs: DataFrame, doc_id: str, text: str, modulus: int, remainder: int)
                 codes[np.arange(len(w.codes)) + w.doc()] = rank[w.codes]
             ids = part.column("id")
             known, train = np.asarray(ids.is_valid()).astype(np.uint8), np.asarray(part.column("train")).astype(np.uint8)
-            blobs = [np.asarray(pc.fill_null(ids, 0)).astype(np.int64).tobytes(), known.tobytes(), train.tobytes(), codes.view(np.uint8).reshape(-1, 4).T.tobytes(), pack(_steps(own))]
+            blobs = [pack(np.asarray(pc.fill_null(ids, 0)).astype(np.int64)), known.tobytes(), train.tobytes(), pack(codes, level=3), pack(_steps(own))]
             where = (part.column("part")[0].as_py() << 32) + k
-            yield pa.RecordBatch.from_arrays([pa.array([where], pa.int64()), pa.array([len(n)], pa.int32()), *(c.blobs([x]) for x in blobs)], names=[x.split()[0] for x in _CODED.split(", ")])
+            sizes = [pa.array([x], pa.int32()) for x in (len(n), len(codes), len(own))]
+            yield pa.RecordBatch.from_arrays([pa.array([where], pa.int64()), *sizes, *(c.blobs([x]) for x in blobs)], names=[x.split()[0] for x in _CODED.split(", ")])
+            del w, codes, own, blobs
+        c.release()
 
     return rows.mapInArrow(run, _CODED)
 
 
+@dataclass
+class Level:
+    """The sequences of n symbols that a slice knows of."""
+
+    own: np.ndarray  # their hashes; rising, but for an end before the words
+    which: np.ndarray  # at each place the number of the one that ends there, or -1
+    total: np.ndarray  # their counts; 0 for one that comes once, but for words
+    first: np.ndarray  # a place of each
+    mine: np.ndarray  # whether this slice owns it
+    goes_on: np.ndarray  # whether a symbol may follow
+
+    def counts(self) -> np.ndarray:
+        """The count at each place."""
+        return np.append(self.total, 0)[self.which]
+
+
 class Slice:
     """The texts of a slice as symbols: an end, the words and an end of each, and the counts that are known of them."""
 
     def __init__(self, row: dict, told: list[dict], ends: int):
         self.where, n = row["slice"], row["n"]
-        self.ids, self.known = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], np.uint8).astype(bool)
+        self.ids, self.known = unpack(row["ids"], n)[0], np.frombuffer(row["known"], np.uint8).astype(bool)
         self.train = np.frombuffer(row["train"], np.uint8).astype(bool)
-        codes = np.ascontiguousarray(np.frombuffer(row["codes"], np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32).astype(np.int64)
-        steps = unpack(row["words"], len(row["words"]) // 8, np.uint64)
-        self.words = np.cumsum(steps[0], dtype=np.uint64) if steps else np.zeros(0, np.uint64)
+        codes = unpack(row["codes"], row["n_codes"], np.uint32)[0].astype(np.int32)
+        self.words = np.cumsum(unpack(row["words"], row["n_words"], np.uint64)[0], dtype=np.uint64) if row["n_words"] else np.zeros(0, np.uint64)
         after = np.flatnonzero(codes == 0)  # the last symbol of each text
         self.n_tokens = np.diff(np.concatenate([[-1], after]))
-        self.doc = np.repeat(np.arange(n), self.n_tokens + 1)
-        first = np.concatenate([[0], np.cumsum(self.n_tokens + 1)])[:-1]
-        self.place = np.arange(len(self.doc)) - first[self.doc]
-        self.codes = np.zeros(len(self.doc), np.int64)
+        self.doc = np.repeat(np.arange(n, dtype=np.int32), self.n_tokens + 1)
+        first = (np.concatenate([[0], np.cumsum(self.n_tokens + 1)])[:-1]).astype(np.int32)
+        self.place = np.arange(len(self.doc), dtype=np.int32) - first[self.doc]
+        self.codes = np.zeros(len(self.doc), np.int32)
         self.codes[self.place > 0] = codes
         self.told: dict[int, list[dict]] = {}
         for x in sorted(told, key=lambda x: x["bucket"]):
             self.told.setdefault(x["kind"], []).append(x)
         self.ends = ends
         self.h = np.concatenate([[END], self.words])[self.codes]
-        self.levels: dict[int, tuple] = {}
+        self.levels: dict[int, Level] = {}
 
     def answer(self, kind: int, n: int) -> list[np.ndarray]:
         """The columns that the buckets gave back for the n hashes that were sent."""
-        parts = [unpack(x["a"], len(x["a"]) // 8 // max(1, x["b"][0])) for x in self.told.get(kind, [])]
+        parts = [unpack(x["a"], x["n"]) for x in self.told.get(kind, [])]
         out = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else []
         if any(len(x) != n for x in out) or (n and not out):
             raise ValueError(f"{n} hashes sent, {[len(x) for x in out]} answers of kind {kind}")
         return out
 
-    def word_counts(self) -> np.ndarray:
-        """The training count of each code; of the end, that of training texts."""
-        got = self.answer(1, len(self.words))
-        return np.concatenate([[self.ends], got[0] if got else np.zeros(0, np.int64)])
-
-    def counts(self, n: int) -> np.ndarray:
-        """At each place the count of the n symbols that end there; 0 for one that comes once, but for n = 1."""
-        if n == 1:
-            return self.word_counts()[self.codes]
-        return self.level(n)[3]
-
     def candidates(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Where n symbols end whose first and last n - 1 come twice: (places, distinct hashes, place among them, a place of each)."""
-        before = self.counts(n - 1)
-        at = np.flatnonzero((self.place >= n - 1) & (before >= 2))
-        at = at[before[at - 1] >= 2]
-        h = c.rolling(self.h, n)[at - n + 1] if len(at) else np.zeros(0, np.uint64)
-        own, back, first = _distinct(h)
+        before = self.level(n - 1).counts() >= 2
+        at = np.flatnonzero((self.place >= n - 1) & before)
+        at = at[before[at - 1]]
+        own, back, first = _distinct(c.rolling(self.h, n)[at - n + 1] if len(at) else np.zeros(0, np.uint64))
         return at, own, back, at[first]
 
-    def level(self, n: int) -> tuple:
-        """(places, place among the distinct, a place of each distinct, counts at each place, whether this slice owns the distinct)."""
+    def level(self, n: int) -> Level:
+        """What is known of the sequences of n symbols."""
         if n not in self.levels:
-            at, own, back, first = self.candidates(n)
-            got = self.answer(n, len(own)) or [np.zeros(0, np.int64)] * 2
-            counts = np.zeros(len(self.codes), np.int64)
-            counts[at] = got[0][back]
-            self.levels[n] = (at, back, first, counts, got[1].astype(bool))
+            if n == 1:
+                got = self.answer(1, len(self.words)) or [np.zeros(0, np.int64)]
+                total = np.concatenate([[self.ends], got[0]])  # an end counts as often as there are training texts
+                self.levels[1] = Level(np.concatenate([[END], self.words]), self.codes, total, np.zeros(0, np.int64), np.zeros(0, bool), np.ones(len(total), bool))
+            else:
+                at, own, back, first = self.candidates(n)
+                got = self.answer(n, len(own)) or [np.zeros(0, np.int64)] * 2
+                which = np.full(len(self.codes), -1, np.int32)
+                which[at] = back
+                self.levels[n] = Level(own, which, got[0], first, got[1].astype(bool), self.codes[first] != 0)
         return self.levels[n]
 
     def sequences(self, n: int, buckets: int) -> pa.Table:
@@ -208,43 +228,47 @@ class Slice:
         at, own, back, _ = self.candidates(n)
         return _messages(self.where, n, buckets, own, np.bincount(back, self.train[self.doc[at]], len(own)).astype(np.int64))
 
-    def contexts(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places of symbols whose d symbols before come twice, distinct hashes of these, place among them)."""
-        at = np.flatnonzero((self.place >= d) & (np.concatenate([[0], self.counts(d)[:-1]]) >= 2))
-        own, back, _ = _distinct(c.rolling(self.h, d)[at - d] if len(at) else np.zeros(0, np.uint64))
-        return at, own, back
+    def contexts(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the sequences of d symbols that are contexts, by rising hash; for each sequence its place among these)."""
+        level = self.level(d)
+        some = np.flatnonzero((level.total >= 2) & level.goes_on)
+        if d == 1:
+            some = some[np.argsort(level.own[some])]
+        slot = np.full(len(level.own) + 1, -1, np.int32)  # the last one for places without a sequence
+        slot[some] = np.arange(len(some))
+        return some, slot
 
     def divergences(self, d: int, total: int, buckets: int) -> pa.Table:
         """The contexts of d symbols, their counts, and the terms of the sequences that this slice owns."""
-        at, own, back = self.contexts(d)
-        slot = np.full(len(self.codes), -1)
-        slot[at] = back
-        n = np.zeros(len(own), np.int64)
-        n[back] = self.counts(d)[at - 1]
-        _, _, first, counts, mine = self.level(d + 1)
-        first = first[mine]
-        first = first[counts[first] >= 2]
-        k, count = slot[first], counts[first]
-        below = self.counts(d)[first] / (self.counts(d - 1)[first - 1] if d > 1 else total)
-        gain = count * np.log((count - 1) / self.counts(d)[first - 1] / below)
-        sums = [np.bincount(k, x, len(own)).astype(np.int64) for x in (count - 1, count, np.ones(len(k)))]
-        return _messages(self.where, STATES + d, buckets, own, n, *sums, np.bincount(k, gain, len(own)).view(np.int64))
+        some, slot = self.contexts(d)
+        level, longer = self.level(d), self.level(d + 1)
+        mine = longer.mine & (longer.total >= 2)
+        first, count = longer.first[mine], longer.total[mine]
+        k = slot[level.which[first - 1]]
+        n = level.total[level.which[first - 1]]
+        below = level.total[level.which[first]] / (self.level(d - 1).total[self.level(d - 1).which[first - 1]] if d > 1 else total)
+        gain = count * np.log((count - 1) / n / below)
+        sums = [np.bincount(k, x, len(some)).astype(np.int64) for x in (count - 1, count, np.ones(len(k)))]
+        # whoever has a term also tells the context's count; terms are sent in units of GRAIN, so that their order does not matter
+        n = np.where(sums[2] > 0, level.total[some], 0)
+        return _messages(self.where, STATES + d, buckets, level.own[some], n, *sums, np.rint(np.bincount(k, gain, len(some)) / GRAIN).astype(np.int64))
 
     def scores(self, depth: int, total: int, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log10 of the base and of the tree at each place, how many symbols the state there has)."""
-        seen = self.counts(1)
-        base = (seen + 1) / (total + kinds + 1)
-        p, used = base.copy(), np.zeros(len(base), np.int64)
+        base = (self.level(1).counts() + 1) / (total + kinds + 1)
+        p, used = base.copy(), np.zeros(len(base), np.int8)
         for d in range(1, depth + 1):
-            at, own, back = self.contexts(d)
-            got = self.answer(STATES + d, len(own))
+            some, _ = self.contexts(d)
+            got = self.answer(STATES + d, len(some))
             if not got:
                 break
-            taken = got[0][back]  # sum of (c - 1); 0 where the context is no state
-            some = taken > 0
-            at, taken = at[some], taken[some]
-            n = self.counts(d)[at - 1]
-            p[at] = np.maximum(self.level(d + 1)[3][at] - 1, 0) / n + (1 - taken / n) * p[at]
+            level, longer = self.level(d), self.level(d + 1)
+            taken = np.zeros(len(level.own) + 1, np.int64)  # sum of (c - 1); 0 where the context is no state
+            taken[some] = got[0]
+            taken = np.concatenate([[0], taken[level.which[:-1]]])
+            at = np.flatnonzero((taken > 0) & (self.place >= d))
+            n = level.total[level.which[at - 1]]
+            p[at] = np.maximum(longer.counts()[at] - 1, 0) / n + (1 - taken[at] / n) * p[at]
             used[at] = d
         return np.log10(base), np.log10(p), used
 
@@ -254,7 +278,7 @@ class Slice:
 
 def _gather(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(slice of each entry as its number, hashes, columns) of rows."""
-    n = [len(x["a"]) // 8 for x in rows]
+    n = [x["n"] for x in rows]
     h = np.concatenate([np.cumsum(unpack(x["a"], k, np.uint64)[0], dtype=np.uint64) for x, k in zip(rows, n, strict=True)])
     columns = [np.concatenate(y) for y in zip(*(unpack(x["b"], k) for x, k in zip(rows, n, strict=True)), strict=True)]
     return np.repeat(np.arange(len(rows)), n), h, columns
@@ -264,8 +288,8 @@ def _told(rows: list[dict], own: np.ndarray, *columns: np.ndarray) -> pa.Table:
     """The columns given back to each row's slice."""
     cuts = np.searchsorted(own, np.arange(len(rows) + 1))
     out = [pack(*(x[p:q] for x in columns)) for p, q in zip(cuts[:-1], cuts[1:], strict=True)]
-    ints = [pa.array([x[k] for x in rows], t) for k, t in (("bucket", pa.int32()), ("slice", pa.int64()), ("kind", pa.int32()))]
-    return pa.table([*ints, c.blobs(out), c.blobs([bytes([len(columns)])] * len(rows))], names=["bucket", "slice", "kind", "a", "b"])
+    ints = [pa.array([x[k] for x in rows], t) for k, t in (("bucket", pa.int32()), ("slice", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()))]
+    return pa.table([*ints, c.blobs(out), pa.nulls(len(rows), pa.binary())], names=["bucket", "slice", "kind", "n", "a", "b"])
 
 
 def _answer(t: pa.Table) -> pa.Table:
@@ -284,17 +308,17 @@ def _answer(t: pa.Table) -> pa.Table:
                 out.append(_told(rows, own, total[back]))
                 known = total[total > 0]
                 sums = pack(np.array([known.sum(), len(known)]))
-                out.append(pa.table([[-1], [-1], [0], [sums], [b"\2"]], names=out[-1].column_names).cast(out[-1].schema))
+                out.append(pa.table([[-1], [-1], [0], [2], [sums], [b""]], names=out[-1].column_names).cast(out[-1].schema))
                 continue
             total[total < 2] = 0
             least = np.full(len(distinct), len(rows))
             np.minimum.at(least, back, own)
             out.append(_told(rows, own, total[back], (least[back] == own).astype(np.int64)))
             continue
-        n = np.zeros(len(distinct), np.int64)
-        n[back] = columns[0]
+        n = np.ones(len(distinct), np.int64)
+        np.maximum.at(n, back, columns[0])
         less, some, kinds = (np.bincount(back, x, len(distinct)) for x in columns[1:4])
-        gain = np.bincount(back, columns[4].view(np.float64), len(distinct)) + (n - some) * np.log1p(-less / n)
+        gain = np.bincount(back, columns[4], len(distinct)) * GRAIN + (n - some) * np.log1p(-less / n)
         out.append(_told(rows, own, np.where((kinds > 0) & (gain >= GAIN * kinds), less, 0).astype(np.int64)[back]))
     return pa.concat_tables(out)
 
@@ -309,7 +333,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus:
     """
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     buckets = max(n, -(-c.text_bytes(docs, text) // BUCKET_BYTES))
-    coded = c.materialize(code(docs, doc_id, text, modulus, remainder), "zstd")
+    coded = c.materialize(code(docs, doc_id, text, modulus, remainder))
     answers: list[DataFrame] = []
 
     def ask(make, ends: int = 0) -> DataFrame:
@@ -318,8 +342,19 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus:
             got = told.to_pylist()
             return pa.concat_tables([make(Slice(x, got, ends)) for x in rows.to_pylist()] or [_messages(0, 0, 1, np.zeros(0, np.uint64))])
 
-        told = coded.groupBy("slice").cogroup(_union(answers, coded).groupBy("slice")).applyInArrow(c.tidy(run), _ROWS)
-        return c.materialize(told.groupBy("bucket").applyInArrow(c.tidy(_answer), _ROWS), "zstd")
+        def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for x in b.to_pylist():
+                    yield from make(Slice(x, [], ends)).to_batches()
+            c.release()
+
+        if answers:
+            sent = coded.groupBy("slice").cogroup(_union(answers).groupBy("slice")).applyInArrow(c.tidy(run), _ROWS)
+        else:
+            sent = coded.mapInArrow(alone, _ROWS)
+        out = c.materialize(sent.groupBy("bucket").applyInArrow(c.tidy(_answer), _ROWS))
+        c.forget(coded.sparkSession)
+        return out
 
     words = ask(lambda s: s.sequences(1, buckets))
     answers.append(words.where("slice >= 0"))
@@ -349,18 +384,18 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus:
             s = Slice(x, got, ends)
             base, p, used = s.scores(depth, total, kinds)
             inner = s.place > 0
-            sums = [np.bincount(s.doc[inner], y[inner], len(s.ids)) for y in (s.counts(1) > 0, base, p, used > 0)]
+            sums = [np.bincount(s.doc[inner], y[inner], len(s.ids)) for y in (s.level(1).counts() > 0, base, p, used > 0)]
             columns = [pa.array(s.ids, mask=~s.known), pa.array(~s.train), pa.array(s.n_tokens.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(s.ids), total, np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.array(sums[3].astype(np.int64))]
             out.append(pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_context"]))
         return pa.concat_tables(out)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_context long"
-    return coded.groupBy("slice").cogroup(_union(answers, coded).groupBy("slice")).applyInArrow(c.tidy(run), schema)
+    return coded.groupBy("slice").cogroup(_union(answers).groupBy("slice")).applyInArrow(c.tidy(run), schema)
 
 
-def _union(answers: list[DataFrame], coded: DataFrame) -> DataFrame:
+def _union(answers: list[DataFrame]) -> DataFrame:
     """The answers of all levels so far."""
-    out = coded.sparkSession.createDataFrame([], _ROWS) if not answers else answers[0]
+    out = answers[0]
     for x in answers[1:]:
         out = out.unionByName(x)
     return out
