@@ -12,12 +12,9 @@ import os
 for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):  # tasks are the parallelism; takes effect where numpy isn't loaded yet
     os.environ.setdefault(_name, "1")
 
-import atexit
 import ctypes
+import gc
 import inspect
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidefold.scratch import materialize
+
 #: Bytes of text that are worked on at once.
 SLICE_BYTES = 4 << 20
 
@@ -36,31 +35,7 @@ _R = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-# --- scratch tables -------------------------------------------------------------------------
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one where none is set and all runs on one machine, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tidefold-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        atexit.register(shutil.rmtree, base, True)
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Write df as Parquet to the shared scratch folder and read it again: lineage ends there.
-
-    It is also put between an aggregate and a join with it on the same key: a join that reads two
-    exchanges can split a hot key, one that reads an aggregate as it is cannot.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+# --- tables -------------------------------------------------------------------------
 
 
 def text_bytes(docs: DataFrame, text: str) -> int:
@@ -68,6 +43,14 @@ def text_bytes(docs: DataFrame, text: str) -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
+def forget(spark: SparkSession) -> None:
+    """Let the driver find what it no longer needs, so that Spark deletes the shuffle files of ended jobs now and not by chance."""
+    spark.range(1).count()  # the scheduler keeps hold of the last job until there is another
+    gc.collect()
+    if (jvm := getattr(spark.sparkContext, "_jvm", None)) is not None:
+        jvm.System.gc()
+
+
 # --- hashes ---------------------------------------------------------------------------------
 
 
