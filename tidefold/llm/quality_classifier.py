@@ -130,6 +130,7 @@ class Network:
     w2: np.ndarray
     b2: float
     temperature: float = 1.0
+    fitted: bool = True  # False: a constant, as there were too few labels or only one kind
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
@@ -141,7 +142,7 @@ class Network:
 
 def constant(y: np.ndarray, width: int) -> Network:
     p = (y.sum() + 1) / (len(y) + 2)
-    return Network(np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(1), np.zeros(1), float(np.log(p / (1 - p))))
+    return Network(np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(1), np.zeros(1), float(np.log(p / (1 - p))), fitted=False)
 
 
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Network:
@@ -182,7 +183,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, context: np.ndarray, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Network:
     """The network of labels(doc_id, quality) and the texts of docs, without held-out rows."""
     known = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").where(~held_out(F.col("_id")))
-    known = known.groupBy("_id").agg(F.min("_y").alias("_y"))
+    ids = docs.select(F.col(doc_id).cast("long").alias("_id")).distinct()
+    known = c.materialize(known.groupBy("_id").agg(F.min("_y").alias("_y")).join(ids, "_id", "left_semi"))
     some = max(1, -(-known.count() // SAMPLE))
     # a hash leaves about SAMPLE rows at most, whatever the number of labels
     chosen = c.materialize(known.where(F.pmod(F.xxhash64("_id"), F.lit(some)) == 0))
@@ -200,8 +202,24 @@ def train(docs: DataFrame, labels: DataFrame, context: np.ndarray, doc_id: str =
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", keep: list[str] | None = None) -> DataFrame:
     """docs (its columns `keep`; all: None) with held_out, score and predicted."""
+    return score(docs, learn(docs, labels, doc_id, text, label), doc_id, text, keep)
+
+
+@dataclass
+class Classifier:
+    context: np.ndarray
+    net: Network
+
+
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Classifier:
+    """Context vectors of all texts, and the network of the labelled ones."""
     context = context_vectors(docs, text)
-    net = train(docs, labels, context, doc_id, text, label)
+    return Classifier(context, train(docs, labels, context, doc_id, text, label))
+
+
+def score(docs: DataFrame, known: Classifier, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (its columns `keep`; all: None) with held_out, score and predicted."""
+    context, net = known.context, known.net
 
     def make(texts):
         p = net.probability(document_vectors(texts, context))
