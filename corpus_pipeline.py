@@ -31,9 +31,12 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones among them, predicts to be good."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _with(docs, lambda x: quality_classifier.classify(x, labels), ["held_out", "score", "predicted"], lambda out: out.where("predicted = 1"))
+    """Documents that the classifier, trained on the labelled ones among them, predicts to be good; all of them where there
+    are too few labels, or only of one kind, to train one."""
+    known = quality_classifier.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not known.net.fitted:
+        return docs
+    return _with(docs, lambda x: quality_classifier.score(x, known), ["held_out", "score", "predicted"], lambda out: out.where("predicted = 1"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
