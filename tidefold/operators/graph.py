@@ -220,12 +220,16 @@ def components(versions: DataFrame, more: DataFrame | None = None) -> DataFrame:
     links = links if more is None else links.union(more.select("a", "b"))
     at = lambda x, to: own.select(F.col("versionId").alias(x), F.col("label").alias(to))
     named = links.join(at("a", "la"), "a", "left").join(at("b", "lb"), "b", "left")
-    named = named.select("a", "b", F.coalesce("la", F.concat(F.lit("v:"), "a")).alias("la"), F.coalesce("lb", F.concat(F.lit("v:"), "b")).alias("lb"))
-    stubs = named.select(F.col("a").alias("versionId"), F.col("la").alias("label")).union(named.select("b", "lb")).distinct()
-    every = own.union(stubs).distinct()
-    joined = materialize(named.where("la <> lb").select(F.col("la").alias("x"), F.col("lb").alias("y")).distinct())
+    # most edges are within a file, and need nothing more
+    odd = materialize(named.where("la is null or lb is null or la <> lb"))
+    stub = lambda x: F.concat(F.lit("v:"), x)
+    stubs = odd.where("la is null").select(F.col("a").alias("versionId"), stub("a").alias("label")).union(odd.where("lb is null").select("b", stub("b"))).distinct()
+    every = own.union(stubs)
+    joined = materialize(odd.select(F.coalesce("la", stub("a")).alias("x"), F.coalesce("lb", stub("b")).alias("y")).where("x <> y").distinct())
+    if joined.limit(1).count() == 0:
+        return every.withColumnRenamed("label", "component")
     low = joined.select("x").union(joined.select("y")).distinct().withColumn("low", F.col("x"))
-    moved = joined.limit(1).count()
+    moved = 1
     while moved:
         both = joined.union(joined.select("y", "x"))
         near = both.join(low.select(F.col("x").alias("y"), F.col("low").alias("n")), "y").groupBy("x").agg(F.min("n").alias("n"))
