@@ -11,7 +11,8 @@ decreasing into patterns of their own.
 
 Documents are ranked within their class, and ranks are dealt to the slots of the patterns, which
 fixes sequence and order. Ranks are counted by class and salt, so that a class with a third of all
-documents is ranked by many tasks; each salted group holds about GROUP rows.
+documents, or one document repeated so often, is ranked by many tasks; each salted group holds about
+GROUP rows.
 
 Null and empty texts have one token, the end. Repeated rows are packed as rows of their own. An empty
 table gives no rows. Other columns of the input do not go to the output.
@@ -303,7 +304,7 @@ def slots(patterns: np.ndarray, uses: np.ndarray) -> list[tuple[int, np.ndarray,
 def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Pieces with sequence_id and offset: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     lengths = length_classes(capacity)
-    pieces = c.materialize(cut(docs, path, doc_id, text, capacity).withColumn("_part", F.spark_partition_id()))
+    pieces = c.materialize(cut(docs, path, doc_id, text, capacity).withColumn("_n", F.monotonically_increasing_id()))  # fixed when it is written
     steps = F.array(*(F.lit(int(x)) for x in (EXACT, capacity // 4)))
     rounded = F.when(F.col("length") <= steps[0], F.col("length")).when(F.col("length") <= steps[1], F.ceil(F.col("length") / 8) * 8).otherwise(F.ceil(F.col("length") / 16) * 16).cast("int")
     pieces = pieces.withColumn("_class", F.least(rounded, F.lit(capacity)))
@@ -317,10 +318,10 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     most = max([full, *demand.tolist(), 1])
     salts = -(-most // GROUP)
 
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32"), F.lit(salts)))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("_n"), F.lit(salts)))
     counts = salted.groupBy("_class", "_salt").agg(F.count("*").alias("n"))
     before = c.materialize(counts.withColumn("_before", F.sum("n").over(W.partitionBy("_class").orderBy("_salt")) - F.col("n")).drop("n"))
-    order = W.partitionBy("_class", "_salt").orderBy("doc_id", "start", "ids_crc32")
+    order = W.partitionBy("_class", "_salt").orderBy("doc_id", "start", "_n")
     ranked = salted.withColumn("_row", F.row_number().over(order) - 1).join(before.hint("merge"), ["_class", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_row"))
 
     def run(batches):
