@@ -107,3 +107,30 @@ def test_rolling_hash_of_words_in_patterns():
         keys = common.rolling(h, k)
         runs = [tuple(np.concatenate(codes)[i : i + k]) for i in range(len(keys))]
         assert len(set(keys.tolist())) == len(set(runs)) and len({*zip(runs, keys.tolist(), strict=True)}) == len(set(runs))
+
+
+def test_blocks_by_the_bytes_of_texts(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 900)
+    shared = made(7, 30)
+    rows = [(i, " ".join([*made(300 + i, i % 20), *shared[i % 11 :], *made(400 + i, 5)])) for i in range(120)]
+    want = substring_dedup.brute_force(rows)
+    got = substring_dedup.digest(substring_dedup.substring_dedup(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
+
+
+def test_one_document_repeated_is_packed_by_many_tasks(spark):
+    import public_tokenizers
+
+    from tidefold.llm import packing
+
+    rows = [(1, "the same text again and again")] * 3000 + [(i, " ".join(made(i, i % 50))) for i in range(2, 300)]
+    out = packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(3), public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert len(out) == len(rows)
+    seqs = {}
+    for r in out:
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for x in seqs.values():
+        x.sort()
+        assert x[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(x[:-1], x[1:], strict=True)) and x[-1][0] + x[-1][1] <= packing.CAPACITY
+    assert sum(r.length for r in out) > 0.95 * packing.CAPACITY * len(seqs)
