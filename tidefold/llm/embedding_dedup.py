@@ -2,12 +2,14 @@
 
 Vectors that are equal form a class and go on as one with a weight. Centres are fitted on a bounded
 sample (SAMPLE vectors, chosen by a hash of the id); the number of cells follows the root of the
-number of classes, up to MAX_CELLS. A vector lives in the cell of its nearest centre. Of two vectors
-that live apart, the one whose cell has the larger number visits the other's cell: it visits every
-smaller cell unless it is farther from the plane between the two centres than a vector on the other
-side of that plane can be at the threshold. This holds for every direction, so that no pair is missed.
-Within a cell every home vector is compared with every visitor, in blocks of about BLOCK by BLOCK that
-are groups of their own, so that a cell with a third of all vectors is the work of many tasks. All
+number of classes, up to MAX_CELLS. A vector lives in the cell of its nearest centre, and may have
+partners in another cell unless it is farther from the plane between the two centres than a vector on the
+other side of that plane can be at the threshold. This holds for every direction, so that no pair is missed.
+Neighbouring cells, in an order that goes from a centre to the nearest one left, form a group of about
+BLOCK vectors, and a vector is sent to a group once, whatever the number of its cells that it visits. Of
+two vectors that live in different groups, the one whose group has the larger number visits the other's.
+Within a group every home vector is compared with every visitor, in blocks of about BLOCK by BLOCK that
+are tasks of their own, so that a cell with a third of all vectors is the work of many tasks. All
 products are exact, in double precision, so that no link is below the threshold.
 
 A block gives for each vector the weight of its links, and for links not all pairs but each vector's
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidefold.llm import common as c
 
-SAMPLE, MAX_CELLS, ROUNDS, BLOCK = 20_000, 4096, 8, 2048
+SAMPLE, MAX_CELLS, ROUNDS, BLOCK, CHUNK = 20_000, 4096, 8, 4096, 512
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -53,15 +55,36 @@ def reach(threshold: float) -> float:
     return float(np.sqrt(1 - threshold**2)) + 1e-7 if 0 < threshold < 1 else (1e-7 if threshold >= 1 else 1.0 + 1e-7)
 
 
+def chain(centres: np.ndarray) -> np.ndarray:
+    """The centres from one to the nearest that is left, and so on."""
+    left = np.ones(len(centres), bool)
+    order = [0]
+    left[0] = False
+    for _ in range(len(centres) - 1):
+        near = np.where(left, centres @ centres[order[-1]], -np.inf)
+        order.append(int(near.argmax()))
+        left[order[-1]] = False
+    return centres[order]
+
+
+def grouped(homes: list[int], block: int) -> np.ndarray:
+    """The group of each cell: cells in a row that have up to `block` vectors together; a larger cell is a group of its own."""
+    out, group, held = [], 0, 0
+    for n in homes:
+        if held and held + n > block:
+            group, held = group + 1, 0
+        out.append(group)
+        held += n
+    return np.array(out, np.int32)
+
+
 def visited(x: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(home, visits) of unit vectors: the cell of each and, by cells, which it visits; it visits its own."""
+    """(home, visits) of unit vectors: the cell of each and, by cells, where a partner of it may live."""
     s = x @ centres.T
     home = s.argmax(1)
     square = (centres * centres).sum(1)
     apart = np.sqrt(np.maximum(square[home][:, None] + square - 2 * centres[home] @ centres.T, 0))
-    visits = s[np.arange(len(x)), home][:, None] - s <= reach(threshold) * apart + 1e-7
-    visits &= np.arange(len(centres)) <= home[:, None]
-    return home, visits
+    return home, s[np.arange(len(x)), home][:, None] - s <= reach(threshold) * apart + 1e-7
 
 
 def _vectors(binary: pa.Array) -> np.ndarray:
@@ -115,12 +138,26 @@ def _assign(classes: DataFrame, centres: dict[int, np.ndarray], threshold: float
     return classes.select("dim", "id", "m", "v").mapInArrow(run, "dim long, id long, m long, v binary, home int, visits array<int>")
 
 
+def _in_groups(assigned: DataFrame, groups: dict[int, np.ndarray]) -> DataFrame:
+    """assigned with groups instead of cells; a vector visits its own group and those with smaller numbers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            home, visits = [], []
+            for d, h, cells in zip(b.column("dim").to_pylist(), b.column("home").to_pylist(), b.column("visits").to_pylist(), strict=True):
+                own = int(groups[d][h]) if d in groups else h
+                home.append(own)
+                visits.append([int(x) for x in np.unique(groups[d][cells]) if x <= own] if d in groups else cells)
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("dim", "id", "m", "v")), pa.array(home, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], names=["dim", "id", "m", "v", "home", "visits"])
+
+    return assigned.mapInArrow(run, assigned.schema)
+
+
 def _centres(classes: DataFrame, dim: int, total: int) -> np.ndarray:
     own = classes.where(F.col("dim") == dim)
     some = own.where(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // SAMPLE)))) == 0).select("v").limit(2 * SAMPLE).toArrow()
     if not len(some):
         some = own.select("v").limit(1).toArrow()
-    return kmeans(_vectors(some.column("v").combine_chunks()), min(MAX_CELLS, max(1, int(np.sqrt(total) / 2))))
+    return chain(kmeans(_vectors(some.column("v").combine_chunks()), min(MAX_CELLS, max(1, int(np.sqrt(total) / 2)))))
 
 
 def _compare(threshold: float):
@@ -132,17 +169,23 @@ def _compare(threshold: float):
         nh, nv = len(h), len(v)
         n, low = np.zeros(nh + nv, np.int64), ids.copy()
         if nh and nv:
-            hit = _vectors(h.column("v").combine_chunks()) @ _vectors(v.column("v").combine_chunks()).T >= threshold
+            a, b = (_vectors(x.column("v").combine_chunks()) for x in (h, v))
             hid, vid = ids[:nh], ids[nh:]
-            hit &= hid[:, None] != vid[None]
+            chunks = [slice(i, i + CHUNK) for i in range(0, nh, CHUNK)]
+            hit = np.concatenate([(a[x] @ b.T >= threshold) & (hid[x, None] != vid) for x in chunks])
             mh, mv = np.asarray(h.column("m")), np.asarray(v.column("m"))
-            n[:nh] = hit @ mv
+            n[:nh] = np.concatenate([hit[x] @ mv for x in chunks])
             home = np.asarray(v.column("home"))
-            n[nh:] = np.where(home != cell, mh @ hit, 0)  # vectors of one cell count each other from the home side
+            back = np.sum([mh[x] @ hit[x] for x in chunks], 0)
+            n[nh:] = np.where(home != cell, back, 0)  # vectors of one group count each other from the home side
             big = np.iinfo(np.int64).max
-            while True:  # the least id that a vector reaches within the block
-                lv = np.minimum(low[nh:], np.where(hit, low[:nh, None], big).min(0))
-                lh = np.minimum(low[:nh], np.where(hit, lv[None], big).min(1))
+            some_h, some_v = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+            hit = hit[np.ix_(some_h, some_v)]
+            chunks = [slice(i, i + CHUNK) for i in range(0, len(some_h), CHUNK)]
+            while len(some_h):  # the least id that a vector reaches within the block
+                lv, lh = low[nh:].copy(), low[:nh].copy()
+                lv[some_v] = np.minimum(lv[some_v], np.min([np.where(hit[x], lh[some_h[x], None], big).min(0) for x in chunks], 0))
+                lh[some_h] = np.minimum(lh[some_h], np.concatenate([np.where(hit[x], lv[some_v], big).min(1) for x in chunks]))
                 if (lh == low[:nh]).all() and (lv == low[nh:]).all():
                     break
                 low = np.concatenate([lh, lv])
@@ -161,7 +204,11 @@ def embedding_dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     classes = c.materialize(good.groupBy("k1", "k2", "dim").agg(F.min(F.struct("vec_id", "v")).alias("f"), F.count("*").alias("m")).select("k1", "k2", "dim", F.col("f.vec_id").alias("id"), F.col("f.v").alias("v"), "m"))
     # lengths of more than BLOCK classes; two counts a cell, at most 2 * MAX_CELLS numbers for each of them
     large = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().where(F.col("count") > BLOCK).collect()}
-    told = c.materialize(_assign(classes, {d: _centres(classes, d, n) for d, n in sorted(large.items())}, threshold))
+    centres = {d: _centres(classes, d, n) for d, n in sorted(large.items())}
+    assigned = c.materialize(_assign(classes, centres, threshold))
+    live = {(r["dim"], r["home"]): r["n"] for r in assigned.where(F.col("dim").isin(list(large))).groupBy("dim", "home").agg(F.count("*").alias("n")).collect()}
+    groups = {d: grouped([live.get((d, i), 0) for i in range(len(x))], BLOCK) for d, x in centres.items()}
+    told = c.materialize(_in_groups(assigned, groups))
     split = told.where(F.col("dim").isin(list(large)))
     homes = {(r["dim"], r["home"]): r["n"] for r in split.groupBy("dim", "home").agg(F.count("*").alias("n")).collect()}
     visitors = {(r["dim"], r["cell"]): r["n"] for r in split.select("dim", F.explode("visits").alias("cell")).groupBy("dim", "cell").agg(F.count("*").alias("n")).collect()}
