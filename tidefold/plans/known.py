@@ -156,6 +156,39 @@ def apply_failures(spark, d):
     return applying.settle(actions, actions.where("action = 'no_op'").select("id")).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def _after() -> str:
+    """The registry of each case after its actions, deletions in conflict kept: case, id, path, hash, deleted, head, parents of a new merge node, open heads."""
+    rows = []
+    for k, (local, remote, told) in enumerate(CASES):
+        mine, other = {e[0]: e for e in local}, {e[0]: e for e in remote}
+        for i, _, action, path, text, head, parents in told:
+            old = mine.get(i)
+            sha = lambda t: hashlib.sha256(TEXTS.get(t, t).encode()).hexdigest()
+            if action in ("write_local", "write_merge", "delete_conflict"):
+                merged = action != "write_local"
+                clock = max(e[3] for e in (old, other.get(i)) if e and e[2] == text) if not merged else 0
+                row = (path, sha(text), False, None if merged else head, None, parents if merged else None, None if merged or head else f"{clock:015d}-00000000-d")
+            elif old is None:
+                continue
+            else:
+                row = (path if action == "move_local" else old[1], sha(old[2]), old[5] or action == "delete_local", old[4], parents if action == "conflict" else old[7], None, None)
+            path_, h, deleted, head_, open_, node, own = row
+            rows.append("(" + ", ".join([str(k), _quoted(i), _quoted(path_), _quoted(h), str(deleted).lower(), _quoted(head_), _quoted(open_ and ",".join(sorted(open_))), _quoted(node and ",".join(sorted(node))), _quoted(own)]) + ")")
+    return ", ".join(rows)
+
+
+@query(f"""with c(k, i, path, h, deleted, head, open, node, own) as (values {_after()}), a as (select c_custkey as v, c.* from customer join c on c_custkey % {len(CASES)} = k),
+s as (select *, list_sort(list_transform(string_split(node, ','), lambda x: v || '.' || x)) as ps, array_to_string(list_sort(list_transform(string_split(open, ','), lambda x: v || '.' || x)), ',') as os from a)
+select v || '.' || i as id, v || '.' || path as path, h as "contentHash", deleted, case when node is not null then 'm-' || sha256(concat_ws('|', h, array_to_string(ps, '|'))) when own is not null then own else v || '.' || head end as "headVersionId", os as "conflictParents" from s""", fixture=False)
+def applied_entries(spark, d):
+    """The registry after the actions of every case."""
+    l, r, v, x = case_replicas(spark, d)
+    told = materialize(applying.decide(classify.classify(l, r, v, x, x), spark.createDataFrame([], "id string, decision string"), "keep"))
+    made = applying.resolution_ops(told, "dev-1", F.lit(1_800_000_000_000))
+    out = applying.next_entries(l, told, made)
+    return out.select("id", "path", "contentHash", "deleted", "headVersionId", F.when(F.col("conflictParents").isNotNull(), _list("conflictParents")).alias("conflictParents"))
+
+
 # --- texts: documents with numbered lines, so that every line is its own ---------------------------
 
 

@@ -612,13 +612,20 @@ def labels(spark, d):
     return _t(spark, d, "events").select("event_id", tx.byte_size(e % 200000).alias("size"), tx.device_label(F.concat(F.lit("abcdef123"), e.cast("string"))).alias("device"), tx.op_label(kind).alias("op"), tx.error_class(error).alias("error"))
 
 
-@query("""select 'taken' as verdict, true as has_check""", fixture=False)
+@query("""with o as (select 'c' || c_custkey as token from customer), q(claim, nobody) as (values ('c1', false), ('c0', false), ('c1', true))
+select claim, nobody, case when nobody or (select count(*) from o) = 0 then 'free' when claim in (select token from o) then 'yours' else 'taken' end as verdict, not nobody as opens, false as opens_with_another from q""", fixture=False)
 def preflight(spark, d):
-    """The verdict of a claim, and a key check that opens."""
-    key = crypto.derive("a passphrase", "a vault", 1000)["verify"]
-    owners = spark.createDataFrame([("v", "t1")], "vault string, token string")
+    """Verdicts of claims on vaults with owners and without, and a key check that opens with its key only, if it is not too long."""
+    key, other = (crypto.derive(x, "a vault", 1000)["verify"] for x in ("a passphrase", "another"))
+    owners = _t(spark, d, "customer").select(F.lit("v").alias("vault"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("token"))
     store = spark.range(1).select(F.lit(crypto.slot()).alias("hash"), crypto.seal(F.lit(crypto.KEY_CHECK), key).alias("bytes"))
-    return remote.preflight("t2", owners, store, crypto.slot()).select("verdict", crypto.key_check(F.col("keyCheck"), key).alias("has_check"))
+    out = None
+    for claim, nobody in (("c1", False), ("c0", False), ("c1", True)):
+        # the vault without owners has a key check that is over the cap
+        told = remote.preflight(claim, owners.where(F.lit(not nobody)), store, crypto.slot(), 8 if nobody else 65536)
+        row = told.select(F.lit(claim).alias("claim"), F.lit(nobody).alias("nobody"), "verdict", crypto.key_check(F.col("keyCheck"), key).alias("opens"), crypto.key_check(F.col("keyCheck"), other).alias("opens_with_another"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query()
