@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from tidefold.llm import common as c
 
 SPACE = "▁"
-#: Parts whose encoding a worker keeps; when there are more, it forgets all.
-KEPT_PARTS = 300_000
+#: Parts whose encoding a worker keeps: the first it meets, which has the frequent ones among them.
+KEPT_PARTS = 600_000
 
 
 class PieceModel:
@@ -94,7 +94,7 @@ class PieceModel:
     def compatible(self, a: str, b: str) -> bool:
         """Whether b may follow a."""
         if (yes := self.pair.get((a, b))) is None:
-            if len(self.pair) > 2 * KEPT_PARTS:
+            if len(self.pair) > KEPT_PARTS:
                 self.pair.clear()
             yes = self.pair[a, b] = self.merge(a + b) == [a, b]
         return yes
@@ -167,9 +167,9 @@ class PieceModel:
         out: list[int] = []
         for part in self.split(text):
             if (ids := self.known.get(part)) is None:
-                if len(self.known) > KEPT_PARTS:
-                    self.known.clear()
-                ids = self.known[part] = self.encode_part(part)
+                ids = self.encode_part(part)
+                if len(self.known) < KEPT_PARTS:
+                    self.known[part] = ids
             out += ids
         return out
 
