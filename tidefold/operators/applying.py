@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold import schemas
 from tidefold.functions import hlc
 from tidefold.functions import text as tx
 from tidefold.operators import merging
@@ -83,6 +82,3 @@ def outcome(actions: DataFrame, failures: DataFrame) -> DataFrame:
     deferred = F.coalesce(F.col("decision") == "defer", F.lit(False)) | (F.col("action") == "conflict")
     return rows.agg(F.count_if(~failed & ~deferred).alias("applied"), F.count_if(deferred).alias("deferred"), F.count_if(failed).alias("failed"), (F.count_if(failed) > MAX_FAILURES).alias("aborted"), F.count_if(tx.affects_local(F.col("action")) & ~deferred).alias("local_changes"))
 
-
-def empty_merge() -> Column:
-    return F.lit(None).cast(schemas.MERGED)

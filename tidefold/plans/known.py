@@ -345,6 +345,23 @@ def made_ops(spark, d):
     return rows.select(F.col("id").alias("source"), op.alias("o")).select("source", "o.id", "o.type", F.array_join("o.parents", ",").alias("parents"))
 
 
+@query("""select id, lag(id) over (partition by fileId, device order by wall, counter) as previous, (select max(event_id) from ops) as head from ops""")
+def log_lineage(spark, d):
+    """The version before of the same file and device, and the log's last position."""
+    from tidefold.sources import remote
+
+    rows = _ops(spark, d)
+    head = remote.head_cursor(rows.select(F.col("event_id").alias("seq")))
+    return oplog.running(rows).join(F.broadcast(head), F.lit(True)).select("id", "previous", F.col("headCursor").alias("head"))  # one row
+
+
+@query("""select doc_id, sha256(text) as h, true as same from documents""", fixture=False)
+def scalar_decodings(spark, d):
+    """F8: Base64 there and back."""
+    back = tx.from_base64(tx.to_base64(F.col("text").cast("binary")))
+    return _t(spark, d, "documents").select("doc_id", F.sha2(back, 256).alias("h"), (back.cast("string") == F.col("text")).alias("same"))
+
+
 @query("""select event_id, event_id % 2 = 0 as early, false as late, case event_id % 4 when 0 then 'device,vault' when 1 then 'vault' when 2 then 'device' else '' end as missing,
     case event_id % 4 when 0 then 'a' when 1 then 'b' when 2 then 'a,b' else 'c' end as chunk, event_id % 4 in (0, 1) as marked from events""", fixture=False)
 def text_helpers(spark, d):
