@@ -94,7 +94,8 @@ def case_replicas(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Da
         rows = vaults.join(F.broadcast(rows), "k")  # as many rows as there are cases
         return materialize(rows.select(_own("id").alias("id"), _own("path").alias("path"), tx.sha256(F.col("text")).alias("contentHash"), hlc.hlc(F.col("wall"), F.lit(0), F.lit("d")).alias("hlcTimestamp"), "deleted", _own("synced").alias("lastSyncedPath"), _own("head").alias("headVersionId"), F.transform("opens", lambda x: F.concat("vault", F.lit("."), x)).alias("conflictParents"), F.lit(None).cast("bigint").alias("mtime"), F.lit(None).cast("bigint").alias("size")))
 
-    nodes = vaults.join(F.broadcast(spark.createDataFrame([(v, p, TEXTS[t]) for v, p, t in GRAPH], "v string, parents array<string>, text string")), F.lit(True))
+    strings = lambda x: F.array(*(F.lit(v) for v in x)).cast("array<string>")
+    nodes = vaults.select("vault", F.inline(F.array(*(F.struct(F.lit(v).alias("v"), strings(p).alias("parents"), F.lit(TEXTS[t]).alias("text")) for v, p, t in GRAPH))))
     versions = nodes.select(_own("v").alias("versionId"), F.transform("parents", lambda x: F.concat("vault", F.lit("."), x)).alias("parents"), tx.sha256(F.col("text")).alias("contentHash"), F.col("vault").alias("fileId"))
     held = spark.createDataFrame([(v,) for k, v in TEXTS.items() if k != "gone"], "text string")
     return side(0), side(1), materialize(versions), held.select(tx.sha256(F.col("text")).alias("hash"), F.col("text").cast("binary").alias("bytes"))
