@@ -37,7 +37,7 @@ from tidefold.llm import common as c
 SHINGLE = 5
 COORDINATES, ROWS = 160, 5
 #: Sets that are compared with as many others at once.
-BLOCK = 256
+BLOCK = 512
 _ROUND = c.seeds(2 * COORDINATES, 6)
 
 
