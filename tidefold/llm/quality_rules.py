@@ -44,6 +44,8 @@ MIN_REFERENCE, MIN_SHARE = 20, 0.001
 #: around it, and characters come in words and are far from independent. Chosen on the labels of sf0.1.
 MARGIN, SAMPLING = (0.16, 0.2), (20.0, 1.15)
 MIN_DOC_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
+#: Bytes of text that are measured at once: a number for each byte.
+SLICE_BYTES = 2 << 20
 
 
 def _class_table() -> np.ndarray:
@@ -137,7 +139,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> Refer
     fields = [c.field("_n", "long"), c.field("_h", "array<long>")]
     if lang not in docs.columns:
         return References({}, None)
-    sums = c.add_columns(docs.select(F.col(lang).cast("string").alias("_lang"), text), text, make, fields, ["_lang"])
+    sums = c.add_columns(docs.select(F.col(lang).cast("string").alias("_lang"), text), text, make, fields, ["_lang"], SLICE_BYTES)
     by = sums.where("_n > 0 and _lang is not null").groupBy("_lang").agg(F.sum("_n").alias("_n"), *(F.sum(F.col("_h")[i]).alias(f"h{i}") for i in range(k + v)))
     total = c.materialize(by)
     floor = max(MIN_REFERENCE, MIN_SHARE * (total.agg(F.sum("_n")).first()[0] or 0))
@@ -218,7 +220,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep:
     inner = [*fields, c.field("_odd_chars", "boolean"), c.field("_odd_words", "boolean"), *([c.field("_h", "array<long>")] if joined else [])]
     known = F.coalesce(F.col("_lang").isin(list(refs.large)), F.lit(False))
     own = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
-    out = c.add_columns(docs.select(*dict.fromkeys([*kept, text]), own.alias("_lang")), text, make, inner, [*kept, "_lang"])
+    out = c.add_columns(docs.select(*dict.fromkeys([*kept, text]), own.alias("_lang")), text, make, inner, [*kept, "_lang"], SLICE_BYTES)
     if small is None:
         out = out.withColumn("_judged", known)
     else:
