@@ -40,7 +40,7 @@ EXACT = 256
 #: Rows that are ranked in one group.
 GROUP = 128
 #: Words whose ids a worker keeps: the first it meets, which has the frequent ones among them.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 800_000
 #: The linear program ends when it is proven to be so near its optimum, or after so many patterns.
 GAP, MAX_PATTERNS = 1e-4, 2000
 
@@ -124,7 +124,7 @@ def cut(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
                 crc = [zlib.crc32(ids[a : a + k]) for a, k in zip(begin.tolist(), length.tolist(), strict=True)]
                 del ids
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(n[doc])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-                c.release()
+            c.release()
 
     some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
     return some.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
