@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidefold.operators import oplog
-from tidefold.plans import fixtures
+from tidefold.plans import fixtures, known
 from tidefold.streaming import ingest
 
 
@@ -67,3 +67,23 @@ def test_running_projection_and_append_once(spark, data, tmp_path):
 def test_debounce(spark):
     rows = spark.createDataFrame([("a", 0.0), ("a", 1.0), ("a", 2.4), ("a", 9.0), ("b", 1.0)], "path string, s double").select("path", F.timestamp_seconds("s").alias("ts"))
     assert sorted((r.path, r.n) for r in ingest.debounce(rows).collect()) == [("a", 1), ("a", 3), ("b", 1)]
+
+
+def test_flushed_bursts_are_files(spark, data, tmp_path):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    got = known.debounce_flush(spark, data)
+    assert got.inputFiles() and got.count()  # written by executors, not held by the driver
+    spark.read.parquet(f"{data}/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
+    assert known.debounce_flush(spark, str(tmp_path)).collect() == []
+    assert spark.conf.get(key) == before
+
+
+def test_replaced_by_each_batch(spark, data, tmp_path):
+    rows = spark.read.parquet(f"{data}/events.parquet").select(F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+    rows.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = ingest.replace_all(ingest.debounce(stream, "7200 seconds"), f"{tmp_path}/out", f"{tmp_path}/cp")
+    q.awaitTermination(120)
+    assert q.lastProgress["batchId"] == 2
+    assert sorted(spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(ingest.debounce(rows, "7200 seconds").collect())

@@ -781,9 +781,9 @@ def debounce_flush(spark, d):
     rows = _t(spark, d, "events").select(F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("path"), F.col("ts").cast("timestamp").alias("ts"))
     rows.repartition(3).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
-    name = f"bursts_{uuid.uuid4().hex}"
-    ingest.debounce(stream, "7200 seconds").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("path", F.unix_millis("first").alias("first_ms"), "n")
+    bursts = ingest.debounce(stream, "7200 seconds")
+    ingest.replace_all(bursts, f"{root}/out", f"{root}/cp").awaitTermination()
+    return spark.read.schema(bursts.schema).parquet(f"{root}/out").select("path", F.unix_millis("first").alias("first_ms"), "n")
 
 
 @query("""with n as (select event_id as seq, user_id, row_number() over (partition by user_id order by event_id) as k, lag(event_type) over (partition by user_id order by event_id) as before, event_type,

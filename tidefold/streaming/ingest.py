@@ -14,6 +14,7 @@ from tidefold.functions import text as tx
 from tidefold.operators import oplog
 
 IDLE_MS = 1500
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FOLDED = "vault string, seq bigint, id string, fileId string, type string, path string, contentHash string, parents array<string>, wall bigint, counter bigint, device string"
 
 
@@ -152,3 +153,21 @@ def append_once(stream: DataFrame, path: str, checkpoint: str, key: str = "clien
         batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return stream.dropDuplicates([key]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def replace_all(result: DataFrame, path: str, checkpoint: str) -> Callable:
+    """A started query that keeps the whole result of an aggregated stream as Parquet at path; each batch replaces what the one before wrote.
+
+    Executors write it, and nothing goes to the driver. The state is in RocksDB on the executors' disks, not in their
+    heaps. A batch that comes again after a failure is written over.
+    """
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    conf, key = result.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key)
+    conf.set(key, ROCKS)
+    try:  # a query takes the settings along when it is started
+        return result.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(key, before)
