@@ -133,6 +133,56 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing, WORD_BPE).count() == 0
 
 
+def test_parts_of_words_have_the_ids_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    tokenizer, r = Tokenizer.from_file(WORD_BPE), random.Random(5)
+    pools = ["abcXYZ", "0123", "'\u2019", "<|>", "\u00e9\u00c9\u00df\u00ff\u00d7\u00f7\u00c0\u00d6\u00d8\u00de\u00f0", "\u00aa\u00b5\u00b2\u00bd\u00bf\xa0\x85\xad", "\x1c\x00\x01\x7f\x80", "\u0130\u0131\u017f\u212a\u01c5\ufb01", "\u0301\u0327\u0308", "\u6f22\u304b\u0645\u0939\u093f", "\U0001f600", "\u3000\u200b\u2028", "\u2167\u0663", "\u03a3\u03c2", "!?.,-_&*#$%", "stredvm"]
+    some = ["it's", "IT'S", "'s", "we'll", "<|endoftext|>", "a<|ENDOFTEXT|>b", "<|startoftext|>", "<", "|", "<|", "T\u0308", "E\u0301", "1/2", "\u00e91\u00e9", "A1b2C3..!!", "\u00d7a", "a\u00f7b"]
+    texts = ["", *(r.choice([" ", "  ", "\n"]).join(r.choice(some) if r.random() < 0.3 else "".join(r.choice(r.choice(pools)) for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(9))) for _ in range(3000))]
+    off, ids = packing.ids_of_texts(pa.array(texts), WORD_BPE)
+    assert packing.WordIds(WORD_BPE).of_parts is not None
+    for i, x in enumerate(texts):
+        assert ids[off[i] : off[i + 1]].tolist() == [*tokenizer.encode(x, add_special_tokens=False).ids, packing.END_ID], repr(x)
+
+
+def test_a_part_goes_to_the_tokenizer_once_and_with_others():
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.texts, self.bytes = inner, 0, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts, self.bytes = self.texts + len(texts), self.bytes + sum(map(len, texts))
+            return self.inner.encode_batch_fast(texts, **options)
+
+    ids, plain = packing.WordIds(WORD_BPE), [a + b + "e" for a in "bcdfghjk" for b in "lmnrstvw"]
+    counted = [Counted(ids.tokenizer), Counted(getattr(ids, "of_parts", None))]
+    ids.tokenizer, ids.of_parts = counted
+    forms = [f(x) for x in plain for f in (str, str.upper, str.title, "{},".format, "({})".format)]
+    start, n, pool = ids.of(pa.array(forms))
+    whole = counted[0].inner
+    assert [pool[a : a + k].tolist() for a, k in zip(start.tolist(), n.tolist(), strict=True)] == [whole.encode(x, add_special_tokens=False).ids for x in forms]
+    assert sum(x.texts for x in counted) == 1 and sum(x.bytes for x in counted) < 5 * len(plain)
+    ids.of(pa.array(forms))
+    assert sum(x.texts for x in counted) == 1
+
+
+def test_other_tokenizers_get_whole_words(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(Tokenizer.from_file(WORD_BPE).to_str())
+    spec["normalizer"] = {"type": "NFC"}
+    path = str(tmp_path / "case.json")
+    Tokenizer.from_str(json.dumps(spec)).save(path)
+    ids, texts = packing.WordIds(path), ["The Cat, the cat.", "MIT it's"]
+    assert ids.of_parts is None
+    off, got = packing.ids_of_texts(pa.array(texts), path)
+    for i, x in enumerate(texts):
+        assert got[off[i] : off[i + 1]].tolist() == [*Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids, packing.END_ID]
+
+
 # --- 2 ----------------------------------------------------------------------------------------------
 
 

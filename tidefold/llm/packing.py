@@ -20,7 +20,9 @@ table gives no rows. Other columns of the input do not go to the output.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from functools import lru_cache
 from itertools import chain
@@ -39,8 +41,8 @@ END_ID = 2
 EXACT = 256
 #: Rows that are ranked in one group.
 GROUP = 128
-#: Words whose ids a worker keeps: the first it meets, which has the frequent ones among them.
-KEPT_WORDS = 800_000
+#: Parts of words whose ids a worker keeps: the first it meets, which has the frequent ones among them.
+KEPT_PARTS = 800_000
 #: The linear program ends when it is proven to be so near its optimum, or after so many patterns.
 GAP, MAX_PATTERNS = 1e-4, 2000
 
@@ -48,20 +50,76 @@ GAP, MAX_PATTERNS = 1e-4, 2000
 # --- ids --------------------------------------------------------------------------------------
 
 
+#: What a tokenizer must do before its merges, so that words can be cut into parts here.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+SPECIAL = re.compile(r"<\|\w+\|>")
+
+#: Kinds of bytes, lower-cased: letters (with all of U+00C0 to U+00FF), digits, others; NOT: the tokenizer has to see the whole word.
+NOT, LETTER, DIGIT, OTHER = range(4)
+_KINDS = np.full(256, NOT, np.uint8)
+_KINDS[0x21:0x7F] = OTHER
+_KINDS[[*range(ord("a"), ord("z") + 1), *range(0x80, 0xC0), 0xC3]] = LETTER
+_KINDS[ord("0") : ord("9") + 1] = DIGIT
+_KINDS[ord("'")] = NOT
+
+
+def parts_of(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(parts, off, plain): the parts of word i are those from off[i] to off[i + 1]; plain are those that are one token run each, in lower case.
+
+    A word of ASCII and of U+00C0 to U+00FF is cut as the tokenizer does: runs of letters, single digits, runs of others. These
+    characters are not changed by NFC, and lower case keeps their number of bytes. A word with any other character, an
+    apostrophe (which has rules of its own) or what may be a special token is one part, as it is.
+    """
+    off, raw = c._buffers(words)
+    before = np.concatenate([np.zeros(1, np.uint8), raw[:-1]])
+    wide = before == 0xC3
+    signs = wide & ((raw == 0x97) | (raw == 0xB7))  # multiplication and division
+    upper = ((raw >= ord("A")) & (raw <= ord("Z"))) | (wide & (raw >= 0x80) & (raw <= 0x9E) & ~signs)
+    low = raw + (upper * np.uint8(32))
+    kind = _KINDS[low]
+    odd = (kind == NOT) | signs | ((before == ord("<")) & (raw == ord("|")))
+    whole = np.diff(np.concatenate([[0], np.cumsum(odd)])[off]) > 0
+    first = np.zeros(len(raw) + 1, bool)
+    first[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    if whole.any():
+        inside = np.repeat(whole, np.diff(off))
+        low = np.where(inside, raw, low)
+        first[:-1] &= ~inside
+    first[off] = True
+    begin = np.flatnonzero(first)
+    at = np.searchsorted(begin, off)
+    parts = pa.StringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin.astype(np.int32)), pa.py_buffer(low))
+    return parts, at, np.repeat(~whole, np.diff(at))
+
+
 class WordIds:
     """The ids of words by themselves; no token of these vocabularies goes over white space.
 
-    The ids of the first KEPT_WORDS different words that a worker meets are kept, as arrays.
+    Words are cut into parts that the tokenizer would cut them into, so that it sees a part once for all the words that have
+    it, in upper and lower case, with and without punctuation. Many parts go to it as one text, since a text costs
+    more than a part; the end of a part is told by the suffix of its last token. Other words go to it one by one, and so
+    do all words if the tokenizer prepares its texts in another way. The ids of the first KEPT_PARTS
+    different parts that a worker meets are kept, as arrays.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.start, self.n, self.ids = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        self.tokenizer, self.of_parts, self.ends = Tokenizer.from_file(path), None, None
+        spec = json.loads(self.tokenizer.to_str())
+        model, end = spec["model"], spec["model"].get("end_of_word_suffix")
+        known = spec["normalizer"] == {"type": "Sequence", "normalizers": NORMALIZERS} and spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
+        if known and end and not model.get("continuing_subword_prefix") and not spec["post_processor"] and all(SPECIAL.fullmatch(x["content"]) for x in spec["added_tokens"]):
+            spec["normalizer"], spec["pre_tokenizer"]["pretokenizers"][0] = None, {"type": "WhitespaceSplit"}
+            self.of_parts = Tokenizer.from_str(json.dumps(spec))
+            self.ends = np.zeros(max(model["vocab"].values()) + 1 + len(spec["added_tokens"]), bool)
+            self.ends[[i for x, i in model["vocab"].items() if x.endswith(end)]] = True
+        self.parts, self.start, self.n, self.ids = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _one_by_one(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         n, ids = [], []
         for a in range(0, len(words), 4096):
             lists = [e.ids for e in self.tokenizer.encode_batch_fast(words.slice(a, 4096).to_pylist(), add_special_tokens=False)]
@@ -69,26 +127,58 @@ class WordIds:
             ids.append(np.fromiter(chain.from_iterable(lists), np.uint32, int(n[-1].sum())))
         return np.concatenate([np.zeros(0, np.int64), *n]), np.concatenate([np.zeros(0, np.uint32), *ids])
 
-    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, number, pool): the ids of each different word are so many from its start in the pool."""
-        words = words.cast(pa.string())
-        at = pc.index_in(words, value_set=self.words)
+    def _together(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        n, ids = [], []
+        for a in range(0, len(parts), 1024):
+            some = parts.slice(a, 1024)
+            got = np.array(self.of_parts.encode_batch_fast([" ".join(some.to_pylist())], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[got])
+            if len(last) != len(some) or last[-1] != len(got) - 1:  # a vocabulary without some character or suffix
+                many, got = self._one_by_one(some)
+            else:
+                many = np.diff(last, prepend=-1)
+            n.append(many)
+            ids.append(got)
+        return np.concatenate([np.zeros(0, np.int64), *n]), np.concatenate([np.zeros(0, np.uint32), *ids])
+
+    def _of_parts(self, parts: pa.Array, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, number, pool): the ids of each different part are so many from its start in the pool."""
+        at = pc.index_in(parts, value_set=self.parts)
         known = np.asarray(at.is_valid())
         where = np.asarray(at.fill_null(0)).astype(np.int64)
-        new = words.filter(pa.array(~known))
-        n_new, ids_new = self._encoded(new)
-        start, n = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        # those that go together first
+        new = np.concatenate([np.flatnonzero(~known & plain), np.flatnonzero(~known & ~plain)])
+        n_plain = int((~known & plain).sum())
+        names = parts.take(pa.array(new))
+        (n_a, ids_a), (n_b, ids_b) = self._together(names.slice(0, n_plain)), self._one_by_one(names.slice(n_plain))
+        n_new, ids_new = np.concatenate([n_a, n_b]), np.concatenate([ids_a, ids_b])
+        start, n = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
         start[known], n[known] = self.start[where[known]], self.n[where[known]]
         start_new = len(self.ids) + np.cumsum(n_new) - n_new
-        start[~known], n[~known] = start_new, n_new
+        start[new], n[new] = start_new, n_new
         pool = np.concatenate([self.ids, ids_new])
-        more = min(len(new), KEPT_WORDS - len(self.words))
+        more = min(len(new), KEPT_PARTS - len(self.parts))
         if more > 0:
-            self.words = pa.concat_arrays([self.words, new.slice(0, more)])
+            self.parts = pa.concat_arrays([self.parts, names.slice(0, more)])
             self.start, self.n = np.concatenate([self.start, start_new[:more]]), np.concatenate([self.n, n_new[:more]])
             self.ids = np.concatenate([self.ids, ids_new[: int(n_new[:more].sum())]])
         return start, n, pool
 
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, number, pool): the ids of each different word are so many from its start in the pool."""
+        words = words.cast(pa.string())
+        if self.of_parts is None:
+            return self._of_parts(words, np.zeros(len(words), bool))
+        parts, off, plain = parts_of(words)
+        coded = parts.dictionary_encode()
+        code = np.asarray(coded.indices)
+        alike = np.zeros(len(coded.dictionary), bool)
+        alike[code] = plain  # no part is that of a word and also a whole word: the latter has a character that no part has
+        start, n, pool = self._of_parts(coded.dictionary, alike)
+        each = n[code]
+        total = np.concatenate([[0], np.cumsum(each)])
+        return total[off[:-1]], np.diff(total[off]), pool[np.arange(total[-1]) + np.repeat(start[code] - total[:-1], each)]
+
 
 _word_ids = lru_cache(maxsize=1)(WordIds)
 
